@@ -19,20 +19,20 @@ SHIELDED = {";": "\ue002", ",": "\ue003", "|": "\ue004", "&": "\ue005"}
 
 # Name suffixes and the marks for further unnamed authors.
 SUFFIX = r"(?:Jr|Sr)\.?|II|III|IV"
-UNNAMED = r"(?i)(?:and\s+|&\s*)?(?:others|et\.?\s*al\.?|u\.\s?a\.|and\s+colleagues|\.\.\.|…)"
-UNNAMED_TAIL = r"(?i)[\s,]+(?:et\.?\s*al\.?|u\.\s?a\.|and\s+others|…)\s*$"
+UNNAMED = r"(?:and\s+|&\s*)?(?:(?i:others|et\.?\s*al\.?)|u\.\s?a\.|(?i:and\s+colleagues)|\.\.\.|…)"
+UNNAMED_TAIL = r"[\s,]+(?:(?i:et\.?\s*al\.?|and\s+others)|u\.\s?a\.|…)\s*$"
 
 INITIALS = r"(?:\p{Lu}\p{M}?\.?[\s-]?){1,4}"
-AUTHOR_END = rf"(?:[;|\n\t&,]|(?i:\band\b)|{SPLIT})"
-AUTHOR_DELIMITER = r"\s*(?:[;|\n\t&]|(?<=\s|^|,)(?i:and)(?=\s|$))\s*"
+AUTHOR_END = rf"(?:[;|\n\t&,•·]|\s//?(?=\s)|(?i:\band\b)|{SPLIT})"
+AUTHOR_DELIMITER = r"\s*(?:[;|\n\t&•·]|(?<=\s)//?(?=\s)|(?<=\s|^|,)(?i:and)(?=\s|$))\s*"
 #: A comma parts two names unless initials or a suffix follow it, which belong to the name before.
-NAME_COMMA = rf"\s*,\s*(?!(?:{INITIALS}|{SUFFIX})\s*(?:,|{SPLIT}|$))"
+NAME_COMMA = rf"\s*+,\s*+(?!(?:{INITIALS}|{SUFFIX})\s*(?:,|{SPLIT}|$))"
 #: "Surname, Given" without initials anywhere is one name.
 FULL_NAME = r"^\s*(?:\p{Ll}+\s+)*[\p{L}\p{M}'’-]+\s*,\s*\p{Lu}[\p{Ll}\p{M}]+(?:\s+(?:\p{Lu}\.\s?)+)?\s*$"
 
-FILE_END = rf"(?:[;|\n\t,]|{SPLIT})"
-#: A comma parts two files only behind a file extension or a media type.
-FILE_DELIMITER = r"\s*[;|\n\t]\s*|(?<=\.[A-Za-z0-9]{2,5}|/[A-Za-z0-9.+-]{2,40})\s*,\s*"
+FILE_END = rf"(?:[;|\n\t,•]|\s//(?=\s)|{SPLIT})"
+#: A comma parts two files only behind a file extension or a media type, or next to a literal.
+FILE_DELIMITER = r"\s*[;|\n\t•]\s*|^\s*,\s*|\s*,\s*$|\s+//\s+|(?<=\.[A-Za-z0-9]{2,5}|:[a-z]{2,20}/[A-Za-z0-9.+-]{2,40})\s*,\s*"
 
 
 def _quoted(text: Column, end: str) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,7 +41,7 @@ def norm_text(s: str) -> str:
     return "".join(c for c in plain if "a" <= c <= "z" or "0" <= c <= "9")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_key(values: pd.Series) -> pd.Series:
     """``norm_text`` of each value; null stays null, a text without Latin letters or digits becomes ''."""
     return values.map(lambda v: None if v is None else norm_text(v))
@@ -81,6 +82,6 @@ def jaro_winkler(a: str, b: str) -> float:
     return base + prefix * 0.1 * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")

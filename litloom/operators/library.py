@@ -119,7 +119,7 @@ def claim_files(rows: DataFrame, files: DataFrame, config: Config = DEFAULT) ->
             out.append((key, got, how))
         return pd.DataFrame(out, columns=["citekey", "pdf_path", "how"]).astype(object)
 
-    return names.unionByName(listed).groupBy(F.lit(1)).applyInPandas(claim, "citekey string, pdf_path string, how string")
+    return names.unionByName(listed).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(claim, "citekey string, pdf_path string, how string")
 
 
 def unclaimed(files: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -57,6 +57,10 @@ def parse_query(query: str) -> list[list[list[str]]]:
     return [g for g in groups if g]
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("tokens", lambda x: x == term))
+
+
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
     """``(id, score)`` of the chunks that match; statistics come from all chunks given. One scan for them, one to score."""
     groups = parse_query(query)
@@ -65,7 +69,7 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     tokens = chunks.select("id", search_terms("content").alias("tokens"))
     counted = tokens.select(
-        "id", "tokens", F.size("tokens").alias("length"), *(F.size(F.filter("tokens", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms))
+        "id", "tokens", F.size("tokens").alias("length"), *(_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms))
     )
     row = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     n, mean = row["n"], row["mean"] or 1.0

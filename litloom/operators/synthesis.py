@@ -90,7 +90,7 @@ def future_work_clusters(
                     rows.append((len(rows), theme, papers, len(papers)))
         return pd.DataFrame(rows, columns=["cluster", "theme", "paper_ids", "paper_count"])
 
-    return told.groupBy(F.lit(1)).applyInPandas(fold, "cluster int, theme string, paper_ids array<bigint>, paper_count int")
+    return told.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(fold, "cluster int, theme string, paper_ids array<bigint>, paper_count int")
 
 
 def cluster_citekeys(clusters: DataFrame, papers: DataFrame) -> DataFrame:

@@ -17,8 +17,16 @@ GRID_SECTIONS = tuple(s for s in SECTIONS if s not in ("ABSTRACT", "OTHER"))
 EVIDENCE_ORDER = ("ABSTRACT", "METHOD", "RESULTS", "DISCUSSION", "LIMITATIONS", "FUTURE_WORK", "CONCLUSION", "INTRODUCTION", "THEORY", "RELATED_WORK", "OTHER")
 
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "decimal": T.DecimalType(10, 6),
+    "array<float>": T.ArrayType(T.FloatType()), "array<string>": T.ArrayType(T.StringType()), "array<bigint>": T.ArrayType(T.LongType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type [not null], ..."; unlike Spark's own parser it needs no session."""
+    fields = [part.split(maxsplit=2) for part in text.split(", ")]
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) == 2) for f in fields])
 
 
 PAPER = _schema(
@@ -39,7 +47,7 @@ CONTRADICTION = _schema(
 )
 FUTURE_WORK_CLUSTER = _schema("id bigint, theme string not null, paper_ids array<bigint> not null, paper_count int not null, created_at timestamp not null")
 API_CALL_LOG = _schema(
-    "id bigint, paper_id bigint, call_type string not null, model string not null, tokens_in int, tokens_out int, cost_usd decimal(10,6), "
+    "id bigint, paper_id bigint, call_type string not null, model string not null, tokens_in int, tokens_out int, cost_usd decimal, "
     "success boolean not null, error_message string, called_at timestamp not null"
 )
 PAPER_META = _schema("citekey string, entry_type string, title string, authors string, year int, venue string, doi string, abstract string, declared_file string, pdf_path string")

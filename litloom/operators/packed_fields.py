@@ -46,6 +46,7 @@ def split_packed(field: Column, kind: str) -> Column:
     """The values of a field in order, as an array; ``kind`` is ``authors`` or ``files``. Null or blank gives an empty array."""
     end = AUTHOR_END if kind == "authors" else FILE_END
     text = F.regexp_replace(F.coalesce(field.cast("string"), F.lit("")), f"[{SPLIT}-\ue005]", "")
+    text = F.regexp_replace(text, r"[\u00a0\u2000-\u200a\u202f\u3000]", " ")
     for mark, stand_in in SHIELDED.items():
         text = F.replace(text, F.lit("\\" + mark), F.lit(stand_in))
     pieces = F.split(_quoted(text, end), QUOTE, -1)
@@ -68,7 +69,7 @@ def split_packed(field: Column, kind: str) -> Column:
         v = F.replace(v, F.lit(QUOTE), F.lit(""))
         for mark, stand_in in SHIELDED.items():
             v = F.replace(v, F.lit(stand_in), F.lit(mark))
-        v = F.regexp_replace(v, r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " ")
+        v = F.regexp_replace(v, r"\s+", " ")
         return F.trim(F.regexp_replace(F.trim(v), r"(?<=[^.])\s*,$", ""))
 
     return F.filter(F.transform(values, cleaned), lambda v: F.regexp_replace(v, r"[\s,;|]+", "") != "")

@@ -94,10 +94,10 @@ EXTRACTION_ANSWER = (
 def extract_concepts(evidence: DataFrame, call: Callable[[object], str], model: str) -> DataFrame:
     """``(paper_id, <answer fields>, error)`` of ``(paper_id, evidence)``; ``model_used`` is always the configured model."""
     answers = call_rows(evidence, "paper_id", "evidence", call)
-    told = answers.withColumn("a", F.from_json("answer", EXTRACTION_ANSWER))
+    told = answers.withColumn("a", F.from_json("answer", EXTRACTION_ANSWER + ", _corrupt_record string"))
     names = [f.split()[0] for f in EXTRACTION_ANSWER.split(", ")]
     fields = [F.coalesce(F.col("a.constructs"), F.array().cast("array<string>")).alias("constructs") if n == "constructs" else F.lit(model).alias(n) if n == "model_used" else F.col(f"a.{n}").alias(n) for n in names]
-    bad = F.when(F.col("error").isNull() & F.col("a").isNull(), "unreadable answer").otherwise(F.col("error"))
+    bad = F.when(F.col("error").isNull() & (F.col("a").isNull() | F.col("a._corrupt_record").isNotNull()), "unreadable answer").otherwise(F.col("error"))
     return told.select("paper_id", *fields, bad.alias("error"))
 
 

@@ -128,7 +128,7 @@ def parsed(xml: Column) -> Column:
 def read_tei(spark: SparkSession, path: str) -> DataFrame:
     """``(path, <document>)`` of the TEI files under ``path``."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").format("binaryFile").load(path)
-    return files.select("path", parsed(F.decode("content", F.lit("UTF-8"))).alias("d")).select("path", "d.*")
+    return files.select("path", parsed(F.decode("content", "UTF-8")).alias("d")).select("path", "d.*")
 
 
 def paragraph_rows(documents: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..sources.tei import paragraph_rows, parsed
 def tei_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder as they arrive, ``<paper id>.tei.xml``."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tei.xml").load(folder)
-    return files.select(F.regexp_extract("path", r"(\d+)\.tei\.xml$", 1).cast("long").alias("paper_id"), F.decode("content", F.lit("UTF-8")).alias("xml"))
+    return files.select(F.regexp_extract("path", r"(\d+)\.tei\.xml$", 1).cast("long").alias("paper_id"), F.decode("content", "UTF-8").alias("xml"))
 
 
 def chunk_rows(files: DataFrame, embed=None) -> DataFrame:

@@ -1,10 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))
 DATA = "/root/testdata/sf0.001"
 
 
@@ -26,3 +29,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def data():
     return DATA
+
+
+@pytest.fixture(autouse=True)
+def functions_travel(request):
+    """Workers can't import test modules, so their functions travel by value."""
+    cloudpickle.register_pickle_by_value(request.module)

@@ -64,7 +64,8 @@ def pieces(text: str, at: list[int], limit: int, overlap: int) -> list[tuple[int
             stop, reason = start + limit, "hard"
         out.append((start, stop, reason))
         done = stop
-        i, j = bisect_left(at, stop - overlap), bisect_left(words, stop - overlap)
+        back = max(stop - overlap, start + 1)
+        i, j = bisect_left(at, back), bisect_left(words, back)
         if i < len(at) and at[i] < stop:
             start = at[i]
         elif j < len(words) and words[j] < stop:

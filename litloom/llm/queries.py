@@ -109,3 +109,14 @@ QUERIES: dict[str, Query] = {
         p6_found, p6_collapsed, p7_filled, p8_found, p8_clean, p9_found, p9_statistics,
     )
 }
+
+_FORMS = r"""WITH f AS (SELECT id,
+   'v' || regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(doi)), '\s+', '', 'g'), '^(?:(?:https?:/{0,2})?(?:www\.)?(?:dx\.)?doi\.org/*|(?:info:)?doi[:/.]*)+', ''), '[^\p{L}\p{N}\p{M}]', '', 'g') AS d,
+   'v' || regexp_replace(lower(nfc_normalize(title)), '[^\p{L}\p{N}\p{M}]', '', 'g') AS t,
+   'v' || array_to_string(list_sort(regexp_extract_all(lower(nfc_normalize(citekey)), '\p{N}+|[\p{L}\p{M}]+')), ' ') AS c FROM paper),
+ g AS (SELECT id, min(id) OVER w AS first_id FROM f WINDOW w AS (PARTITION BY coalesce(d, 'n'), coalesce(t, 'n'), coalesce(c, 'n')))"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"{_FORMS} SELECT first_id, id AS copy_id FROM g WHERE id <> first_id",
+    "p6_collapsed": f"{_FORMS} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id",
+}

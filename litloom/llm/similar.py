@@ -10,6 +10,8 @@ vantage point, which is itself a row, in a tree that to the k-th found so far; t
 smaller factor of their own, ``tree_factor``): a shard whose vantage point is ``d_s`` away holds nothing closer than
 ``(d_s - d_home) / 2``; the far side of a tree node holds nothing closer than ``|d - mu|``.
 
+A list that stays short because its shard is small is completed from the vantage points, which every task knows.
+
 Exact copies of a vector are searched once and expanded afterwards, so a vector that a third of all rows share costs
 one search. Shards follow the data's own density because vantage points are rows drawn evenly by hash.
 """
@@ -106,13 +108,13 @@ class _Tree:
             self.who[part] = np.take_along_axis(whos, order, 1)
 
 
-def _search_shard(t: pa.Table, dim: int, k: int, factor: float, leaf: int) -> pa.Table:
+def _search_shard(t: pa.Table, dim: int, k: int, factor: float, leaf: int, vantage: np.ndarray, vantage_ids: list[list[int]]) -> pa.Table:
     packed = t.column("packed").to_pylist()
     raw = unpack(packed, dim)
     who, best = _Tree(_unit(raw), k + 6, factor, leaf).run()
     ids = t.column("ids").combine_chunks()
     lengths = np.asarray(ids.value_lengths())
-    flat = np.asarray(ids.flatten())
+    flat, offset = np.asarray(ids.flatten()), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))])
     width = int(lengths.max(initial=1))
     member = np.full((len(raw) + 1, width), np.iinfo(np.int64).max)  # the last row stands for "nobody"
     member[:-1][np.arange(width) < lengths[:, None]] = flat
@@ -130,7 +132,19 @@ def _search_shard(t: pa.Table, dim: int, k: int, factor: float, leaf: int) -> pa
         out_ids.append(np.take_along_axis(mem, order, 1))
         out_cos.append(np.take_along_axis(far, order, 1))
     mem, far = np.concatenate(out_ids), np.concatenate(out_cos)
+    if far.shape[1] < k:
+        gap = ((0, 0), (0, k - far.shape[1]))
+        mem, far = np.pad(mem, gap), np.pad(far, gap, constant_values=9.0)
     real = far < 9.0
+    for i in np.flatnonzero(real.sum(axis=1) < k):
+        # too few rows in this shard: the vantage points, rows as well, complete the list
+        dots = vantage.astype(np.float64) @ raw[i].astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", vantage, vantage, dtype=np.float64) * squares[i])
+        own = set(flat[offset[i] : offset[i + 1]].tolist())
+        more = {(-round(float(c), 9), m) for c, ids_ in zip(dots / norms, vantage_ids) for m in ids_ if m not in own}
+        best_ = sorted(more | set(zip(far[i][real[i]].tolist(), mem[i][real[i]].tolist())))[:k]
+        far[i, : len(best_)], mem[i, : len(best_)] = [x for x, _ in best_], [x for _, x in best_]
+        real[i, : len(best_)] = True
     offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
     pairs = pa.StructArray.from_arrays([pa.array(far[real]), pa.array(mem[real])], names=["far", "id"])
     return pa.table({"h": t.column("h"), "ids": t.column("ids"), "near": pa.ListArray.from_arrays(offsets, pairs)})
@@ -153,12 +167,23 @@ def nearest_neighbours(
         return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
     dim, n = widths[0]["w"], widths[0]["count"]
     want = n_vantage or min(MAX_VANTAGE, max(16, math.isqrt(n)))
-    drawn = base.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(2 * want).toArrow()
+    even = base.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(2 * want)
+    drawn = even.select("v", F.xxhash64("v").alias("x")).toArrow()
     _, x = _matrix(drawn.column("v"), dim)
     kept = list(dict.fromkeys(pack(x)))[:want]
     if not kept:
         return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
-    vantage = _unit(unpack(kept, dim))
+    raw_vantage = unpack(kept, dim)
+    vantage = _unit(raw_vantage)
+    place = {r: i for i, r in enumerate(kept)}
+    hashes = sorted(set(drawn.column("x").to_pylist()))
+    same = base.where((F.size("v") == dim) & F.xxhash64("v").isin(hashes))
+    copies = same.withColumn("rn", F.row_number().over(Window.partitionBy(F.xxhash64("v")).orderBy("id"))).where(F.col("rn") <= k + 1).select("id", "v").toArrow()
+    at, x = _matrix(copies.column("v"), dim)
+    vantage_ids: list[list[int]] = [[] for _ in kept]  # at most k + 1 of the rows that share a vantage point's vector
+    for i, r in zip(np.asarray(copies.column("id"))[at], pack(x)):
+        if r in place:
+            vantage_ids[place[r]].append(int(i))
 
     def keyed(batches):
         for b in batches:
@@ -191,7 +216,7 @@ def nearest_neighbours(
 
     routed = distinct.mapInArrow(route, "shard int, h binary, ids array<long>, packed binary")
     found = routed.groupBy("shard").applyInArrow(
-        lambda t: _search_shard(t, dim, k, tree_factor, leaf), "h binary, ids array<long>, near array<struct<far:double,id:long>>"
+        lambda t: _search_shard(t, dim, k, tree_factor, leaf, raw_vantage, vantage_ids), "h binary, ids array<long>, near array<struct<far:double,id:long>>"
     )
     lists = found.groupBy("h").agg(
         F.first("ids").alias("ids"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near")

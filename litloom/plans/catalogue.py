@@ -17,6 +17,7 @@ from ..operators import chunking, coverage, evidence, library, retrieval, store,
 from ..operators.packed_fields import unpack_fields
 from ..runtime import table
 from ..sources.clients import embedded
+from .packed_sql import PACKED_FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,7 +333,7 @@ def claimed_files(spark, folder):
     return library.claim_files(_declared(spark, folder), _files(spark, folder))
 
 
-@query()
+@query(PACKED_FIELDS)
 def p5_found(spark, folder):
     fields = {"authors": "authors", "declared_file": "files"}
     return unpack_fields(table(spark, folder, "paper_meta"), "meta_id", fields).withColumnRenamed("id", "meta_id")

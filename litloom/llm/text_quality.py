@@ -354,7 +354,7 @@ def text_statistics(text: Column) -> Column:
     def stats(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics(t) for t in texts], columns=[f.split()[0] for f in FIELDS.split(", ")])
 
-    return stats(text)
+    return stats.asNondeterministic()(text)  # else a filter on a field would compute all of it twice
 
 
 def quality(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -151,7 +151,7 @@ def _search_shard(t: pa.Table, dim: int, k: int, factor: float, leaf: int, vanta
 
 
 def nearest_neighbours(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 100.0, tree_factor: float = 10.0, n_vantage: int | None = None, leaf: int = 512
+    df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 50.0, tree_factor: float = 10.0, n_vantage: int | None = None, leaf: int = 512
 ) -> DataFrame:
     """``(id, neighbour, rank, cosine)``: up to ``k`` neighbours of each usable vector by cosine, equal cosines by smaller id.
 
@@ -229,7 +229,7 @@ def nearest_neighbours(
     )
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 100.0, **kw) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 50.0, **kw) -> DataFrame:
     """``(a, b)``, a < b, distinct: one of the two is among the other's ``k`` nearest (see ``nearest_neighbours``)."""
     n = nearest_neighbours(df, id_col, vec_col, k, factor, **kw)
     return n.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()

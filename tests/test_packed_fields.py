@@ -55,7 +55,7 @@ def test_empty_long_and_repeated(spark):
 names = st.builds(lambda s, i: f"{s}, {i}.", st.text("abcdefgh", min_size=3, max_size=8).map(str.title), st.sampled_from("ABCDEFG"))
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(names, min_size=1, max_size=5), min_size=1, max_size=8), st.integers(0, 9))
 def test_round_trip(spark, authors, seed):
     rng = random.Random(seed)

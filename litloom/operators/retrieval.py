@@ -7,6 +7,7 @@ alphanumeric tokens: bare words must all occur, ``OR`` separates alternatives, q
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Search
-from ..functions.similarity import cosine_distance
-from ..functions.text import citation_marker, non_blank, search_terms
+from ..functions.similarity import distance_to
+from ..functions.text import citation_marker, non_blank
 
 K1, B = 1.2, 0.75
 
@@ -37,9 +38,8 @@ def ranked(df: DataFrame, order: list[Column], pool: int) -> DataFrame:
 
 def vector_arm(chunks: DataFrame, query: list[float], pool: int) -> DataFrame:
     """Nearest chunks by cosine distance; chunks without embedding take no part, all-zero ones come last."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = chunks.where(F.col("embedding").isNotNull()).select("id", cosine_distance(F.col("embedding"), q).alias("distance"))
-    return ranked(scored, [F.col("distance").asc_nulls_last(), F.col("id")], pool)
+    scored = chunks.where(F.col("embedding").isNotNull()).select("id", distance_to(F.col("embedding"), query).alias("distance"))
+    return ranked(scored, [F.round("distance", 12).asc_nulls_last(), F.col("id")], pool)
 
 
 def parse_query(query: str) -> list[list[list[str]]]:
@@ -57,34 +57,39 @@ def parse_query(query: str) -> list[list[list[str]]]:
     return [g for g in groups if g]
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda x: x == term))
+def _alone(tokens: list[str]) -> str:
+    """Pattern of tokens that stand together, between other characters than letters and digits."""
+    return "(?<![a-z0-9])" + "[^a-z0-9]+".join(tokens) + "(?![a-z0-9])"
 
 
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """``(id, score)`` of the chunks that match; statistics come from all chunks given. One scan for them, one to score."""
+    """``(id, score)`` of the chunks that match; statistics come from all chunks given.
+
+    Occurrences are counted in the text as it stands, without making token arrays: one pass for the statistics, and one
+    over the texts that hold the words for their scores.
+    """
     groups = parse_query(query)
     terms = sorted({t for g in groups for p in g for t in p})
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    tokens = chunks.select("id", search_terms("content").alias("tokens"))
-    counted = tokens.select(
-        "id", "tokens", F.size("tokens").alias("length"), *(_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms))
-    )
-    row = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    low = chunks.select("id", F.lower("content").alias("low"))
+    counts = [F.regexp_count("low", F.lit(_alone([t]))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    # a text without content has no tokens but counts as a chunk
+    lengths = F.coalesce(F.regexp_count("low", F.lit("[a-z0-9]+")), F.lit(0)).alias("length")
+    seen = [F.count_if(F.col("low").contains(t) & (c > 0)).alias(f"df{i}") for i, (t, c) in enumerate(zip(terms, counts))]
+    row = low.agg(F.count("*").alias("n"), F.avg(lengths).alias("mean"), *seen).first()
     n, mean = row["n"], row["mean"] or 1.0
-    parts = []
-    for i in range(len(terms)):
-        df, tf = row[f"df{i}"], F.col(f"tf{i}").cast("double")
-        idf = F.log(F.lit(1.0 + (n - df + 0.5) / (df + 0.5)))
-        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean)))))
-    joined = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
 
     def holds(phrase: list[str]) -> Column:
-        return F.col(f"tf{terms.index(phrase[0])}") > 0 if len(phrase) == 1 else joined.contains(" " + " ".join(phrase) + " ")
+        return reduce(lambda a, b: a & b, (F.col("low").contains(t) for t in phrase)) & F.col("low").rlike(_alone(phrase))
 
     match = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(holds, g)) for g in groups))
-    return counted.where(match).select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+    parts = []
+    for i in range(len(terms)):
+        df, tf = row[f"df{i}"], F.col(f"tf{i}").cast("double")
+        idf = math.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean)))))
+    return low.where(match).select("id", lengths, *counts).select("id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def text_arm(chunks: DataFrame, query: str, pool: int) -> DataFrame:

@@ -45,26 +45,24 @@ def guarded_findings(reported: DataFrame, groups: DataFrame, existing: DataFrame
 def cluster_vectors(vectors: list[np.ndarray], threshold: float) -> list[list[int]]:
     """Greedy seed clusters in input order: a vector joins the cluster whose seed is most similar (equal: the later one)
     if that reaches the threshold, else it founds a new one."""
-    seeds: list[np.ndarray] = []
     groups: list[list[int]] = []
-    stacked = np.empty((0, 0))
-    norms = np.empty(0)
-    for i, v in enumerate(vectors):
-        v = np.asarray(v, dtype=np.float32)
-        if seeds:
-            n = min(stacked.shape[1], len(v))
-            top = (stacked[:, :n] * v[:n]).astype(np.float64).sum(axis=1)  # products are rounded to float, sums are not
-            size = np.sqrt((v * v).astype(np.float64).sum())
-            sims = np.divide(top, norms * size, out=np.zeros(len(seeds)), where=(norms * size) > 0)
-            best = len(sims) - 1 - int(np.argmax(sims[::-1]))
+    width = max((len(v) for v in vectors), default=0)
+    seeds, norms = np.zeros((16, width), dtype=np.float32), np.zeros(16)
+    for i, vector in enumerate(vectors):
+        v = np.asarray(vector, dtype=np.float32)
+        size = np.sqrt((v * v).astype(np.float64).sum())
+        n = len(groups)
+        if n:
+            top = (seeds[:n, : len(v)] * v).astype(np.float64).sum(axis=1)  # products are rounded to float, sums are not
+            sims = np.divide(top, norms[:n] * size, out=np.zeros(n), where=norms[:n] * size > 0)
+            best = n - 1 - int(np.argmax(sims[::-1]))
             if sims[best] >= threshold:
                 groups[best].append(i)
                 continue
-        seeds.append(v)
+        if n == len(seeds):
+            seeds, norms = np.concatenate([seeds, np.zeros_like(seeds)]), np.concatenate([norms, norms])
+        seeds[n, : len(v)], norms[n] = v, size
         groups.append([i])
-        width = max(map(len, seeds))
-        stacked = np.array([np.pad(s, (0, width - len(s))) for s in seeds], dtype=np.float32)
-        norms = np.sqrt((stacked * stacked).astype(np.float64).sum(axis=1))
     return groups
 
 

@@ -48,7 +48,7 @@ _VECTOR_ARM = """
  q AS (SELECT embedding::DOUBLE[] AS v FROM chunk WHERE id = (SELECT min(id) FROM chunk WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)),
  scored AS (SELECT c.id, 1 - list_dot_product(c.embedding::DOUBLE[], q.v) / nullif(sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)), 0) AS distance
             FROM chunk c, q WHERE c.embedding IS NOT NULL {where}),
- vector_arm AS (SELECT id, distance, row_number() OVER (ORDER BY distance ASC NULLS LAST, id) AS rank FROM scored QUALIFY rank <= 60)"""
+ vector_arm AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 12) ASC NULLS LAST, id) AS rank FROM scored QUALIFY rank <= 60)"""
 _TEXT_ARM = """
  toks AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM chunk WHERE TRUE {where}),
  tf AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x = 'memory')) AS a, len(list_filter(t, lambda x: x = 'route')) AS b FROM toks),
@@ -63,8 +63,8 @@ _FUSED = """
 
 def _query_vector(chunks: DataFrame) -> list[float]:
     usable = chunks.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    row = usable.orderBy("id").select("embedding").first()
-    return row.embedding if row else [1.0]
+    row = usable.agg(F.min_by("embedding", "id").alias("v")).first()
+    return row.v or [1.0]
 
 
 def _hits(spark: SparkSession, folder: str, sections: list[str] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def vector_topk(spark, folder):
     q = _query_vector(chunks)
     arm = retrieval.vector_arm(chunks, q, 60)
     vectors = chunks.select("id", "embedding").join(F.broadcast(arm), "id")  # 60 rows
-    d = similarity.cosine_distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in q)))
+    d = similarity.distance_to(F.col("embedding"), q)
     return vectors.select("id", F.col("rank").cast("long").alias("rank"), F.round(d, 6).alias("distance"))
 
 

@@ -5,7 +5,8 @@ four and six words. Every suffix of every test item is looked up in it by binary
 share at least six words with the item. Each longest verbatim match is then extended to both sides by banded alignment;
 a document is reported if ``min_words`` words of an item stand in it with at most one word in ``words_per_edit``
 replaced, dropped or added. Any such passage of 25 words with at most 3 edits holds a verbatim run of six words, so no
-passage is missed for want of a seed.
+passage is missed for want of a seed. Nor for want of band or reach: if there is a passage, there is one of at most 49
+words (of two halves of 25 words or more one has no more than its share of the edits), which has at most 6 edits.
 
 The corpus is read once and not shuffled; only the test items travel, in blocks of bounded size.
 """
@@ -103,36 +104,34 @@ def _seeds(items: _Items, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _edits(a: np.ndarray, t: np.ndarray, k: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
     """Least edits by item words taken (0 to REACH) from (k, p) onwards in the direction of ``step``."""
     width = 2 * BAND + 1
-    e = np.full((width, len(k)), 99, dtype=np.int16)
-    for s in range(BAND, width):
-        e[s] = s - BAND
-    out = np.empty((REACH + 1, len(k)), dtype=np.int16)
-    out[0] = 0
+    ramp = np.arange(width, dtype=np.int16)[:, None]
+    item = a[k + step * np.arange(REACH)[:, None]]
+    text = t[p + step * np.arange(-BAND, REACH + BAND)[:, None]]
+    text[:BAND] = -2  # what lies behind the start matches nothing
+    e = np.repeat(np.where(ramp < BAND, 99, ramp - BAND).astype(np.int16), len(k), axis=1)
+    out = np.zeros((REACH + 1, len(k)), dtype=np.int16)
     for r in range(1, REACH + 1):
-        here = a[k + step * (r - 1)]
-        new = np.empty_like(e)
-        for s in range(width):
-            differ = here != t[p + step * (r - 1 + s - BAND)] if r - 1 + s - BAND >= 0 else np.ones(len(k), dtype=bool)
-            new[s] = e[s] + differ
-            if s + 1 < width:
-                np.minimum(new[s], e[s + 1] + 1, out=new[s])
-            if s:
-                np.minimum(new[s], new[s - 1] + 1, out=new[s])
-        new[:, here < 0] = 99
+        new = e + (text[r - 1 : r - 1 + width] != item[r - 1])
+        np.minimum(new[:-1], e[1:] + np.int16(1), out=new[:-1])
+        new -= ramp
+        for s in range(1, width):
+            np.minimum(new[s], new[s - 1], out=new[s])
+        new += ramp
         e = new
-        out[r] = e.min(axis=0)
+        e.min(axis=0, out=out[r])
+    out[1:][item < 0] = 99  # beyond the item's end
     return out
 
 
-def _near(a: np.ndarray, t: np.ndarray, k: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
-    """How many of the next eight item words stand within three places in the text."""
-    hits = np.zeros(len(k), dtype=np.int8)
-    for j in range(8):
-        here, any_ = a[k + step * j], np.zeros(len(k), dtype=bool)
-        for s in range(-3, 4):
-            any_ |= here == t[p + step * j + s]
-        hits += any_
-    return hits
+def _holds(left: np.ndarray, right: np.ndarray, run: np.ndarray, min_words: int, per_edit: int) -> np.ndarray:
+    """Which matches lie in a passage within REACH; exact, since the farthest word for each number of edits is tried."""
+    most = (2 * REACH + min_words) // per_edit
+    reach_left, reach_right = ([(side <= e).sum(axis=0) - 1 for e in range(min(most, REACH) + 1)] for side in (left, right))
+    holds = np.zeros(len(run), dtype=bool)
+    for x, to_left in enumerate(reach_left):
+        for y, to_right in enumerate(reach_right[: most + 1 - x]):
+            holds |= to_left + run + to_right >= max(min_words, (x + y) * per_edit)
+    return holds
 
 
 def _passages(items: _Items, t: np.ndarray, min_words: int, per_edit: int) -> tuple[np.ndarray, ...]:
@@ -146,16 +145,13 @@ def _passages(items: _Items, t: np.ndarray, min_words: int, per_edit: int) -> tu
     while len(alive):
         alive = alive[a[k[alive] + run[alive]] == t[p[alive] + run[alive]]]
         run[alive] += 1
-    need = min(4, max(1, (min_words - SEED) // 3))
-    keep = run >= min_words
-    rest = np.flatnonzero(~keep)
-    near = np.maximum(_near(a, t, k[rest] + run[rest], p[rest] + run[rest], 1), _near(a, t, k[rest] - 1, p[rest] - 1, -1))
-    keep[rest[near >= need]] = True
-    k, p, run = k[keep], p[keep], run[keep]
+    a, t = a.astype(np.int32), t.astype(np.int32)
     found = []
     for lo in range(0, len(k), 4096):
         kk, pp, rr = k[lo : lo + 4096], p[lo : lo + 4096], run[lo : lo + 4096]
         right, left = _edits(a, t, kk + rr, pp + rr, 1), _edits(a, t, kk - 1, pp - 1, -1)
+        held = np.flatnonzero(_holds(left, right, rr, min_words, per_edit))
+        kk, pp, rr, right, left = kk[held], pp[held], rr[held], right[:, held], left[:, held]
         best, at, cost = np.zeros(len(kk), dtype=int), np.zeros(len(kk), dtype=int), np.zeros(len(kk), dtype=int)
         for x in range(REACH + 1):
             words = x + rr[None, :] + np.arange(REACH + 1)[:, None]

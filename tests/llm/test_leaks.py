@@ -93,3 +93,19 @@ def test_blocks_of_items_and_shards(spark, monkeypatch):
     texts = [" ".join(f"t{rng.randrange(300)}" for _ in range(30)) for _ in range(5)]
     found, _ = run(spark, list(enumerate(texts)), [(10 + i, t) for i, t in enumerate(texts)])
     assert sorted((r.item_id, r.doc_id, r.words, r.edits) for r in found.collect()) == [(10 + i, i, 30, 0) for i in range(5)]
+
+
+def test_edits_in_one_place(spark):
+    words = [f"u{i}" for i in range(40)]
+    other = [f"x{i}" for i in range(60)]
+    docs = {
+        1: words[:20] + other[:4] + words[20:],  # added
+        2: words[:18] + words[22:],  # dropped
+        3: words[:18] + other[:5] + words[23:],  # replaced
+        4: words[:20] + other[:5] + words[20:],
+        5: words[:20] + other[:6] + words[20:],  # one edit too many
+        6: words[:14] + other[:5] + words[15:20] + other[5:] + words[22:36],  # too few words in each part
+    }
+    around = [(i, " ".join(other[20:40] + w + other[40:])) for i, w in docs.items()]
+    found, _ = run(spark, around, [(7, " ".join(words))])
+    assert sorted((r.doc_id, r.words, r.edits) for r in found.collect()) == [(1, 40, 4), (2, 40, 4), (3, 40, 5), (4, 40, 5)]

@@ -343,7 +343,7 @@ def statistics(text: str | None) -> tuple:
     far = min(jensen_shannon(w, p[1]) + jensen_shannon(c, p[2]) for p in PROFILES if p[0] == "prose")
     return (
         kind, share, n, len(lines), doc.letters / n if n else None, c[5], c[1],
-        sum(bool(END_MARK.search(x[-12:])) for x in lines) / len(lines), doc.hits / n if n else None, doc.language, far,
+        sum(bool(END_MARK.search(x.rstrip()[-12:])) for x in lines) / len(lines), doc.hits / n if n else None, doc.language, far,
     )
 
 

@@ -39,3 +39,8 @@ def test_rows(spark):
     got = quality(df, "doc_id", "text").collect()
     assert len(got) == 5 and [r.kind for r in got[:3]] == ["blank"] * 3 and got[0].words == 0 and got[0].common_words is None and got[3].kind == "prose"
     assert quality(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_blanks_after_a_line_end():
+    padded = "The harbour is near." + " " * 12 + "\nIt has 2 docks" + "\t" * 20 + "\nIs it far?" + " \t" * 30
+    assert statistics(padded)[7] == 2 / 3

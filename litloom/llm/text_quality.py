@@ -1,18 +1,20 @@
 """Problem 9 - text statistics per document and the share of text that is no natural prose.
 
-A text is taken apart into lines. Lines whose form alone tells what they are (rules, rows of cells, list items, contents
-lines, repeated navigation) are labelled by it; the others form blocks, each compared with structural profiles by the
-Jensen-Shannon divergence of two distributions: words by class (function words of the best-fitting language,
-capitalised, plain, numbers, other tokens) and characters by class. A block gets the label of the nearest profile; a
-text in which more than half the characters are not prose gets the kind most of those have.
+A text is taken apart into blocks of lines of one build. Each block has three distributions: its words by class (function
+words of the text's language, capitalised, plain, numbers, other tokens), its characters by class, and its characters by
+the form of the line they stand in. They are compared with structural profiles by the Jensen-Shannon divergence - prose in
+each language, and the ways in which lists, tables and junk are set - and the block gets the kind of the nearest profile.
+No form decides by itself: a form is one class of one distribution, and words that tell otherwise outweigh it. A text in
+which more than half the characters stand in blocks that are not prose gets the kind most of those have.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,19 +36,43 @@ NAVIGATION = frozenset(
     "add to cart|save|email|tweet|like|references|figures|related articles|metrics|access denied|page not found|loading".split("|")
 )
 
-# Profiles as (kind, word classes, character classes).
-# Word classes: function, capitalised, plain, number, other. Character classes: letter, digit, space, sentence mark, other punctuation, symbol.
-PROFILES = [
-    ("prose", (0.33, 0.10, 0.53, 0.03, 0.01), (0.815, 0.010, 0.155, 0.010, 0.009, 0.001)),
-    ("prose", (0.20, 0.10, 0.66, 0.03, 0.01), (0.825, 0.010, 0.140, 0.012, 0.012, 0.001)),
-    ("prose", (0.26, 0.22, 0.43, 0.07, 0.02), (0.790, 0.030, 0.150, 0.012, 0.017, 0.001)),
-    ("list", (0.03, 0.08, 0.87, 0.01, 0.01), (0.840, 0.003, 0.125, 0.002, 0.029, 0.001)),
-    ("list", (0.02, 0.75, 0.13, 0.06, 0.04), (0.720, 0.030, 0.140, 0.060, 0.049, 0.001)),
-    ("table", (0.01, 0.07, 0.24, 0.56, 0.12), (0.400, 0.290, 0.150, 0.090, 0.060, 0.010)),
-    ("table", (0.00, 0.35, 0.05, 0.10, 0.50), (0.560, 0.160, 0.100, 0.060, 0.060, 0.060)),
-    ("junk", (0.00, 0.03, 0.95, 0.01, 0.01), (0.875, 0.002, 0.121, 0.001, 0.001, 0.000)),
-    ("junk", (0.01, 0.04, 0.10, 0.10, 0.75), (0.450, 0.060, 0.120, 0.060, 0.190, 0.120)),
-    ("junk", (0.00, 0.05, 0.05, 0.20, 0.70), (0.620, 0.330, 0.020, 0.005, 0.005, 0.020)),
+WORD_CLASSES = ("function", "capital", "plain", "number", "other")
+CHAR_CLASSES = ("letter", "digit", "space", "end", "mark", "symbol")
+#: Forms of lines. heading and name: a short line by itself; column: one of at least COLUMN short lines in a row.
+FORMS = (
+    "running", "sentence", "open", "heading", "name", "column", "gloss", "phrases", "item", "reference", "contents", "row", "numbers", "pairs", "noise", "rule", "again", "menu",
+)
+COLUMN = 4
+#: Weights of the three divergences (words, characters, forms).
+WEIGHTS = (1.0, 1.0, 0.5)
+
+_LATIN = {"letter": 0.80, "digit": 0.02, "space": 0.15, "end": 0.015, "mark": 0.015}
+_PARAGRAPH = {"running": 0.95, "sentence": 0.04, "heading": 0.01}
+# The profiles; what a class doesn't name has no share, and shares are scaled to one.
+PROSE = {
+    "en": {"function": 0.33, "capital": 0.06, "plain": 0.55, "number": 0.05, "other": 0.01},
+    "fr": {"function": 0.52, "capital": 0.04, "plain": 0.41, "number": 0.03},
+    "de": {"function": 0.50, "capital": 0.27, "plain": 0.19, "number": 0.04},
+    "es": {"function": 0.52, "capital": 0.04, "plain": 0.41, "number": 0.03},
+}
+PROFILES = [("prose", words, _LATIN, _PARAGRAPH) for words in PROSE.values()] + [
+    ("prose", {"function": 0.14, "capital": 0.08, "plain": 0.68, "number": 0.06, "other": 0.04}, _LATIN, {"sentence": 0.8, "heading": 0.2}),
+    ("prose", {"function": 0.04, "capital": 0.20, "plain": 0.50, "number": 0.15, "other": 0.11}, {"letter": 0.68, "digit": 0.07, "space": 0.15, "end": 0.04, "mark": 0.06}, {"heading": 1}),
+    ("list", {"function": 0.08, "capital": 0.47, "plain": 0.29, "number": 0.03, "other": 0.13}, {"letter": 0.68, "digit": 0.03, "space": 0.13, "end": 0.06, "mark": 0.10}, {"reference": 1}),
+    ("list", {"function": 0.12, "plain": 0.62, "number": 0.13, "other": 0.13}, {"letter": 0.77, "digit": 0.03, "space": 0.15, "end": 0.01, "mark": 0.03, "symbol": 0.01}, {"item": 1}),
+    ("list", {"capital": 0.33, "plain": 0.67}, {"letter": 0.865, "space": 0.10, "mark": 0.035}, {"gloss": 0.9, "column": 0.1}),
+    ("list", {"function": 0.07, "capital": 0.22, "plain": 0.11, "number": 0.40, "other": 0.20}, {"letter": 0.30, "digit": 0.08, "space": 0.10, "end": 0.52}, {"contents": 1}),
+    ("list", {"function": 0.03, "plain": 0.97}, {"letter": 0.82, "space": 0.105, "mark": 0.075}, {"phrases": 1}),
+    ("list", {"function": 0.04, "capital": 0.06, "plain": 0.90}, {"letter": 0.83, "space": 0.11, "mark": 0.06}, {"column": 0.9, "heading": 0.1}),
+    ("list", {"function": 0.03, "capital": 0.60, "plain": 0.27, "other": 0.10}, {"letter": 0.77, "space": 0.10, "end": 0.04, "mark": 0.09}, {"name": 1}),
+    ("table", {"capital": 0.02, "plain": 0.18, "number": 0.35, "other": 0.45}, {"letter": 0.29, "digit": 0.24, "space": 0.28, "end": 0.07, "mark": 0.06, "symbol": 0.06}, {"row": 1}),
+    ("table", {"capital": 0.06, "plain": 0.28, "number": 0.56, "other": 0.10}, {"letter": 0.39, "digit": 0.29, "space": 0.19, "end": 0.09, "mark": 0.02, "symbol": 0.02}, {"numbers": 1}),
+    ("table", {"plain": 0.20, "number": 0.20, "other": 0.60}, {"letter": 0.45, "digit": 0.25, "space": 0.10, "end": 0.08, "mark": 0.06, "symbol": 0.06}, {"pairs": 1}),
+    ("junk", {"plain": 0.10, "other": 0.90}, {"letter": 0.56, "digit": 0.07, "space": 0.06, "end": 0.04, "mark": 0.07, "symbol": 0.20}, {"noise": 1}),
+    ("junk", {"function": 0.10, "capital": 0.72, "plain": 0.18}, {"letter": 0.85, "space": 0.15}, {"menu": 1}),
+    ("junk", {"plain": 1}, {"letter": 0.885, "space": 0.115}, {"open": 1}),
+    ("junk", {"plain": 0.07, "other": 0.93}, {"letter": 0.17, "space": 0.03, "end": 0.17, "mark": 0.17, "symbol": 0.46}, {"rule": 1}),
+    ("junk", {"function": 0.24, "capital": 0.20, "plain": 0.56}, {"letter": 0.835, "space": 0.16, "end": 0.005}, {"again": 1}),
 ]
 
 TOKEN = regex.compile(r"\S+")
@@ -67,6 +93,11 @@ END_MARK = regex.compile(r"[.!?…:;][\"'”’)\]»]*\d{0,3}\s*$")
 SENTENCE_END = regex.compile(r"\p{L}{2,}[)\]\"”’']*[.!?…](?:\s|$)")
 
 
+LINE_END = regex.compile("\r\n|[\n\r\u2028\x0b\x0c]")
+FORM_AT = {f: i for i, f in enumerate(FORMS)}
+#: Blocks compared with the profiles at a time.
+TOGETHER = 4096
+
 #: Marks taken off a token before it is looked up among the common words.
 MARKS = ".,;:!?()[]{}\"'“”‘’«»„¿¡…*-–—"
 
@@ -99,16 +130,33 @@ def _char_class(c: str) -> int:
     return 5
 
 
-def jensen_shannon(p, q) -> float:
-    """Divergence in bits, 0 to 1."""
-    total = 0.0
-    for a, b in zip(p, q):
-        m = (a + b) / 2
-        if a > 0:
-            total += a * math.log2(a / m) / 2
-        if b > 0:
-            total += b * math.log2(b / m) / 2
-    return total
+def _information(x: np.ndarray) -> np.ndarray:
+    """Entropy in bits along the last axis."""
+    return -(x * np.log2(np.where(x > 0, x, 1.0))).sum(axis=-1)
+
+
+def jensen_shannon(p, q) -> np.ndarray:
+    """Divergence in bits, 0 to 1, of every distribution in ``p`` from every one in ``q``."""
+    p, q = np.atleast_2d(np.asarray(p, dtype=float)), np.atleast_2d(np.asarray(q, dtype=float))
+    mean = _information((p[:, None] + q[None]) / 2)
+    return np.maximum(0.0, mean - (_information(p)[:, None] + _information(q)[None]) / 2)
+
+
+def _profile_matrix(part: int, classes: tuple[str, ...]) -> np.ndarray:
+    x = np.array([[p[part].get(c, 0.0) for c in classes] for p in PROFILES])
+    return x / x.sum(axis=1, keepdims=True)
+
+
+KINDS = np.array([p[0] for p in PROFILES])
+MATRICES = [_profile_matrix(i, c) for i, c in ((1, WORD_CLASSES), (2, CHAR_CLASSES), (3, FORMS))]
+
+
+def nearest_profiles(words, chars, forms) -> np.ndarray:
+    """Number of the nearest profile of each block, from its three distributions."""
+    if not len(words):
+        return np.empty(0, dtype=int)
+    far = sum(w * jensen_shannon(x, m) for w, x, m in zip(WEIGHTS, (words, chars, forms), MATRICES))
+    return far.argmin(axis=1)
 
 
 class _Doc:
@@ -141,13 +189,14 @@ class _Doc:
         chars = [0] * 6
         for c, k in Counter(text).items():
             chars[_char_class(c)] += k
-        self.whole = [x / max(1, total) for x in classes], [x / max(1, len(text)) for x in chars], total
+        self.whole = [x / max(1, total) for x in classes], [x / max(1, len(text)) for x in chars]
 
     def count(self, tokens: list[str]) -> int:
         common = self.common
         return sum([t in common for t in tokens])
 
-    def distributions(self, text: str) -> tuple[list[float], list[float], int]:
+    def distributions(self, text: str) -> tuple[list[float], list[float]]:
+        """(words by class, characters by class) of a block."""
         words, n = [0] * 5, 0
         for t, k in Counter(text.split()).items():
             n += k
@@ -156,11 +205,7 @@ class _Doc:
         chars = [0] * 6
         for c, k in Counter(text).items():
             chars[_char_class(c)] += k
-        return [x / max(1, n) for x in words], [x / max(1, len(text)) for x in chars], n
-
-
-def nearest_profile(words: list[float], chars: list[float]) -> str:
-    return min(PROFILES, key=lambda p: jensen_shannon(words, p[1]) + jensen_shannon(chars, p[2]))[0]
+        return [x / max(1, n) for x in words], [x / max(1, len(text)) for x in chars]
 
 
 def _cells(line: str, doc: _Doc) -> int:
@@ -185,144 +230,166 @@ def _number_share(tokens: list[str]) -> float:
     return sum(bool(CELL.fullmatch(t)) for t in tokens) / max(1, len(tokens))
 
 
-def _line_label(line: str, doc: _Doc) -> str | None:
-    """Kind of a line told by its form, None if it takes more than that."""
+def _phrases(text: str, doc: _Doc) -> bool:
+    """Short phrases set apart by semicolons or commas, without sentences."""
+    body = regex.sub(r"^\s*\p{L}[\p{L} ]{0,25}:\s*", "", text)
+    parts = [p.split() for p in regex.split(r"[;,•|/\n]", body) if p.strip()]
+    if len(parts) < 3:
+        return False
+    words = [w for p in parts for w in p]
+    share = sum(w in doc.common or bool(_token(w)[2]) for w in words) / len(words)
+    return len(words) / len(parts) <= 4.5 and share < 0.12
+
+
+def _line_form(line: str, doc: _Doc) -> str | None:
+    """Form of a line that shows in the line itself, None if it takes more than that."""
     s = line.strip()
     tokens = s.split()
     if CITED.match(s) and (len(s) < 30 or YEAR.search(s)):
-        return "list"
+        return "reference"
     if len(tokens) >= 6 and "|" not in s and "\t" not in s and "&" not in s and "...." not in s and doc.count(tokens) >= 0.16 * len(tokens):
-        return "list" if len(s) <= 120 and BULLET.match(line) else None
+        return "item" if len(s) <= 120 and BULLET.match(line) else "running"
     if RULE.fullmatch(s) and len(set(s.replace(" ", ""))) <= 3 and len(s) > 1:
-        return "junk"
+        return "rule"
     if len(s) >= 16:
         clean = [t for t in SEPARATOR.sub(" ", s).split() if t]
         if sum(len(t) for t in clean if _token(t)[0] != 4 or CELL.fullmatch(t)) < 0.5 * sum(map(len, clean)):
             pairs = [t for t in tokens if PAIR.fullmatch(t)]
             if len(pairs) < 0.45 * len(tokens) and not CONTENTS.fullmatch(s):
-                return "junk"
+                return "noise"
     if CONTENTS.fullmatch(s):
-        return "list"
+        return "contents"
     if _cells(line, doc):
-        return "table"
+        return "row"
     if s.count(";") + s.count(",") >= 2:
         mark = ";" if s.count(";") >= s.count(",") else ","
         cells = [c.strip().strip('"') for c in s.split(mark)]
         numbers, empty = sum(bool(CELL.fullmatch(c)) for c in cells), sum(not c for c in cells[:-1])
         if len(cells) >= 3 and (numbers and numbers + empty >= 0.5 * (len(cells) - 1) or empty >= 2 or max(map(len, cells)) <= 24 and '",' in s.replace('", "', '","')):
-            return "table"
+            return "row"
         if len(cells) >= 3 and mark == "," and " " not in s and cells[-1]:
-            return "table"
+            return "row"
     if len(tokens) >= 3 and _number_share(tokens) >= 0.45:
-        return "table"
+        return "numbers"
     pairs = sum(bool(PAIR.fullmatch(t)) for t in tokens if "=" in t or ":" in t)
     if len(tokens) >= 2 and pairs >= 0.45 * len(tokens):
-        return "table"
-    if BULLET.match(line) and not (len(s) > 300 and SENTENCE_END.findall(s)[1:]):
-        return "list"
-    if NAME_LINE.fullmatch(s) and len(s) < 60:
-        return "list?"
-    return None
+        return "pairs"
+    if BULLET.match(line):
+        return "item"
+    return "name" if NAME_LINE.fullmatch(s) and len(s) < 60 else None
 
 
-def _phrases(text: str, doc: _Doc) -> bool:
-    """Short phrases set apart by semicolons or commas, without sentences."""
-    body = regex.sub(r"^\s*\p{L}[\p{L} ]{0,25}:\s*", "", text)
-    parts = [p.split() for p in regex.split(r"[;,•|/\n]", body) if p.strip()]
-    if len(parts) < 3:
-        return False
-    words = [w for p in parts for w in p]
-    share = sum(w in doc.common or bool(_token(w)[2]) for w in words) / len(words)
-    return len(words) / len(parts) <= 4.5 and share < 0.12
+def line_forms(lines: list[str], doc: _Doc) -> list[str]:
+    """Form of each line among its fellows."""
+    keys = [x.strip().lower() for x in lines]
+    repeated = Counter(keys)
+    out = []
+    for x, key in zip(lines, keys):
+        form = _line_form(x, doc)
+        if form in (None, "name", "running") and repeated[key] >= 3 and repeated[key] * 4 >= len(lines):
+            form = "again"
+        elif key in NAVIGATION:
+            form = "menu"
+        if form is None:
+            n = len(x.split())
+            if n <= 14 and GLOSS.fullmatch(x):
+                form = "gloss"
+            elif n <= 6:
+                form = "heading"
+            elif _phrases(x, doc):
+                form = "phrases"
+            else:
+                form = "sentence" if SENTENCE_END.search(x.rstrip()[-12:]) else "open"
+        out.append(form)
+    return out
 
 
-def label_lines(text: str, doc: _Doc | None = None) -> list[tuple[int, str]]:
-    """``(characters, kind)`` of the non-blank lines, in order; kinds are prose, list, table and junk."""
-    doc = doc or _Doc(text)
-    lines = [x for x in regex.split(r"\r\n|[\n\r \x0b\x0c]", text) if x.strip()]
-    labels = [_line_label(x, doc) for x in lines]
-    repeated = Counter(x.strip().lower() for x in lines)
-    for i, x in enumerate(lines):
-        key = x.strip().lower()
-        if repeated[key] >= 3 and repeated[key] * 4 >= len(lines) and labels[i] in (None, "list?") or key in NAVIGATION:
-            labels[i] = "junk"
-    # runs of name-like lines are lists, single ones are headings or the ends of paragraphs
-    out: list[tuple[int, str]] = []
-    i = 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and (labels[j] is None or labels[j] == "list?") == (labels[i] is None or labels[i] == "list?"):
-            j += 1
-        if labels[i] is None or labels[i] == "list?":
-            out += _label_block(lines[i:j], labels[i:j], doc, j - i == len(lines))
-        else:
-            out += [(len(lines[k]), labels[k]) for k in range(i, j)]
-        i = j
-    return out
+#: Forms of lines of words, and those among them that are short; lines of any other form stand in blocks of their own.
+OF_WORDS = {"running", "sentence", "open", "phrases", "heading", "name", "gloss"}
+SHORT = {"heading", "name", "gloss"}
 
 
-def _label_block(lines: list[str], labels: list[str | None], doc: _Doc, whole: bool) -> list[tuple[int, str]]:
-    sizes = [len(x) for x in lines]
-    counts = [len(x.split()) for x in lines]
-    if sum(x == "list?" for x in labels) >= max(2, 0.6 * len(lines)):
-        return [(n, "list") for n in sizes]
-    short = [c <= 6 for c in counts]
-    glosses = sum(bool(GLOSS.fullmatch(x)) and c <= 14 for x, c in zip(lines, counts))
-    if len(lines) >= 3 and glosses >= 0.7 * len(lines):
-        return [(n, "list") for n in sizes]
-    if len(lines) >= 4 and sum(short) >= 0.8 * len(lines):
-        nav = sum(x.strip().lower() in NAVIGATION for x in lines)
-        return [(n, "junk" if nav >= 0.5 * len(lines) else "list") for n in sizes]
-    # a run of short lines amid longer ones: label it apart
-    out, i = [], 0
+def _blocks(lines: list[str], forms: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of one build; forms of short lines that stand in a column are renamed."""
+    i = 0
     while i < len(lines):
         j = i
-        while j < len(lines) and short[j] == short[i]:
+        while j < len(lines) and (forms[j] == forms[i] or forms[i] in OF_WORDS and forms[j] in OF_WORDS):
             j += 1
-        chunk = lines[i:j]
-        if short[i] and j - i >= 4:
-            out += [(len(x), "list") for x in chunk]
-        else:
-            out += _label_text(chunk, doc, whole and len(chunk) == len(lines))
-        i = j
+        if forms[i] not in OF_WORDS:
+            yield i, j
+            i = j
+            continue
+        start = i  # of words that are not in a column
+        while i < j:
+            k = i
+            while k < j and (forms[k] in SHORT) == (forms[i] in SHORT):
+                k += 1
+            column = forms[i] in SHORT and k - i >= COLUMN
+            if column:
+                yield from _paragraphs(lines, start, i)
+                forms[i:k] = ["column" if f == "heading" else f for f in forms[i:k]]
+                yield i, k
+                start = k
+            elif forms[i] in SHORT:
+                forms[i:k] = ["heading"] * (k - i)
+            i = k
+        yield from _paragraphs(lines, start, j)
+
+
+def _paragraphs(lines: list[str], start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """A block of words, or its lines one by one if they are as long as paragraphs."""
+    if stop - start > 1 and all(len(x) > 160 for x in lines[start : stop - 1]):
+        yield from ((k, k + 1) for k in range(start, stop))
+    elif stop > start:
+        yield start, stop
+
+
+def blocks_of(text: str, doc: _Doc) -> list[tuple[int, list[float], list[float], list[float]]]:
+    """``(characters, words by class, characters by class, characters by form of line)`` of the blocks of a text."""
+    lines = [x for x in LINE_END.split(text) if x.strip()]
+    forms = line_forms(lines, doc)
+    out = []
+    for i, j in _blocks(lines, forms):
+        shares = [0.0] * len(FORMS)
+        for k in range(i, j):
+            shares[FORM_AT[forms[k]]] += len(lines[k])
+        size = sum(shares)
+        words, chars = doc.distributions(" ".join(x.strip() for x in lines[i:j]))
+        out.append((int(size), words, chars, [x / size for x in shares]))
     return out
 
 
-def _label_text(lines: list[str], doc: _Doc, whole: bool) -> list[tuple[int, str]]:
-    """Lines without telling form: the block as a whole, or line by line if they are long and unlike."""
-    joined = " ".join(x.strip() for x in lines)
-    if len(lines) == 1 and len(joined.split()) <= 6 and joined[:1].isalpha():
-        return [(len(lines[0]), "prose")]  # a heading or the rest of a paragraph
-    if whole and doc.whole[0][0] >= 0.2 and nearest_profile(*doc.whole[:2]) == "prose":
-        return [(len(x), "prose") for x in lines]
-    units = [[x] for x in lines] if len(lines) > 1 and all(len(x) > 160 for x in lines[:-1]) else [lines]
+def document_kinds(texts: list[str], docs: list[_Doc] | None = None) -> list[tuple[str, float]]:
+    """(kind, share of characters that are not prose) of each text, all compared with the profiles together; kind
+    ``prose`` while the share is at most a half."""
+    docs = docs or [_Doc(t) for t in texts]
+    total = [dict.fromkeys(("list", "table", "junk", "prose"), 0) for _ in texts]
+    pending: list[tuple[int, tuple]] = []
+
+    def settle() -> None:
+        sizes, words, chars, forms = zip(*(b for _, b in pending))
+        for (i, _), n, at in zip(pending, sizes, nearest_profiles(words, chars, forms)):
+            total[i][KINDS[at]] += n
+        pending.clear()
+
+    for i, (text, doc) in enumerate(zip(texts, docs)):
+        pending += [(i, b) for b in blocks_of(text, doc)]
+        if len(pending) >= TOGETHER:
+            settle()
+    if pending:
+        settle()
     out = []
-    for unit in units:
-        text = " ".join(x.strip() for x in unit)
-        if _phrases("\n".join(unit) if all(regex.search(r"[;,]\s*$", x) for x in unit[:-1]) else text, doc):
-            kind = "list"
-        else:
-            words, chars, n = doc.distributions(text)
-            kind = nearest_profile(words, chars)
-            if kind == "list":
-                marks = len(regex.findall(r"[;,:•|]|\n", text))
-                kind = "prose" if words[0] >= 0.12 or n < 8 and SENTENCE_END.search(text) else "list" if marks * 6 >= n or words[1] > 0.5 else "junk"
-        out += [(len(x), kind) for x in unit]
+    for t in total:
+        size = sum(t.values())
+        share = 1 - t["prose"] / size if size else 0.0
+        out.append(("blank" if not size else "prose" if share <= 0.5 else max(("list", "table", "junk"), key=t.get), share))
     return out
 
 
-def document_kind(text: str, doc: _Doc | None = None) -> tuple[str, float]:
-    """(kind, share of characters that are not prose); kind ``prose`` while the share is at most a half."""
-    total: Counter = Counter()
-    for n, kind in label_lines(text, doc):
-        total[kind] += n
-    all_chars = sum(total.values())
-    if not all_chars:
-        return "blank", 0.0
-    share = 1 - total["prose"] / all_chars
-    if share <= 0.5:
-        return "prose", share
-    return max(("list", "table", "junk"), key=lambda k: total[k]), share
+def document_kind(text: str) -> tuple[str, float]:
+    """``document_kinds`` of one text."""
+    return document_kinds([text])[0]
 
 
 FIELDS = (
@@ -331,20 +398,24 @@ FIELDS = (
 )
 
 
-def statistics(text: str | None) -> tuple:
-    """The fields of ``FIELDS``. A null, empty or blank text has kind ``blank``, zero counts and null ratios."""
-    if text is None or not text.strip():
-        return ("blank", None, 0, 0, None, None, None, None, None, None, None)
-    doc = _Doc(text)
-    w, c, _ = doc.whole
-    kind, share = document_kind(text, doc)
-    n = doc.words
-    lines = [x for x in text.split("\n") if x.strip()]
-    far = min(jensen_shannon(w, p[1]) + jensen_shannon(c, p[2]) for p in PROFILES if p[0] == "prose")
-    return (
-        kind, share, n, len(lines), doc.letters / n if n else None, c[5], c[1],
-        sum(bool(END_MARK.search(x.rstrip()[-12:])) for x in lines) / len(lines), doc.hits / n if n else None, doc.language, far,
-    )
+def statistics(texts: list[str | None]) -> list[tuple]:
+    """The fields of ``FIELDS`` of each text. A null, empty or blank text has kind ``blank``, zero counts and null ratios."""
+    real = [t for t in texts if t is not None and t.strip()]
+    docs = [_Doc(t) for t in real]
+    kinds = document_kinds(real, docs)
+    prose = KINDS == "prose"
+    far = np.zeros(len(real))
+    if real:
+        words, chars = ([d.whole[i] for d in docs] for i in (0, 1))
+        far = (jensen_shannon(words, MATRICES[0][prose]) + jensen_shannon(chars, MATRICES[1][prose])).min(axis=1)
+    out = []
+    for t, d, (kind, share), f in zip(real, docs, kinds, far):
+        n, chars = d.words, d.whole[1]
+        lines = [x for x in t.split("\n") if x.strip()]
+        ended = sum(bool(END_MARK.search(x.rstrip()[-12:])) for x in lines) / len(lines)
+        out.append((kind, share, n, len(lines), d.letters / n if n else None, chars[5], chars[1], ended, d.hits / n if n else None, d.language, float(f)))
+    rows = iter(out)
+    return [next(rows) if t is not None and t.strip() else ("blank", None, 0, 0, None, None, None, None, None, None, None) for t in texts]
 
 
 def text_statistics(text: Column) -> Column:
@@ -352,7 +423,7 @@ def text_statistics(text: Column) -> Column:
 
     @F.pandas_udf(FIELDS)
     def stats(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=[f.split()[0] for f in FIELDS.split(", ")])
+        return pd.DataFrame(statistics(list(texts)), columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return stats.asNondeterministic()(text)  # else a filter on a field would compute all of it twice
 

@@ -1,7 +1,11 @@
 """Kinds of text and their statistics."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from litloom.llm import text_quality as tq
 from litloom.llm.text_quality import document_kind, jensen_shannon, quality, statistics
 
 PROSE = "The carrier that we met in the harbour was not aware of the new rule, and it took two weeks until the town told them about it. "
@@ -29,9 +33,9 @@ def test_kinds(want, text):
 
 
 def test_statistics():
-    s = dict(zip("kind non_prose words lines mean symbol digit punctuated common language far".split(), statistics("The harbour is near.\nIt has 2 docks")))
+    s = dict(zip("kind non_prose words lines mean symbol digit punctuated common language far".split(), statistics(["The harbour is near.\nIt has 2 docks"])[0]))
     assert s["words"] == 8 and s["lines"] == 2 and s["punctuated"] == 0.5 and s["language"] == "en" and s["common"] == 5 / 8 and s["digit"] == pytest.approx(1 / 35)
-    assert jensen_shannon([1, 0], [0, 1]) == 1 and jensen_shannon([0.5, 0.5], [0.5, 0.5]) == 0
+    assert jensen_shannon([[1, 0], [0.5, 0.5]], [[0, 1], [0.5, 0.5]]).round(4).tolist() == [[1, 0.3113], [0.3113, 0]]
 
 
 def test_rows(spark):
@@ -43,4 +47,43 @@ def test_rows(spark):
 
 def test_blanks_after_a_line_end():
     padded = "The harbour is near." + " " * 12 + "\nIt has 2 docks" + "\t" * 20 + "\nIs it far?" + " \t" * 30
-    assert statistics(padded)[7] == 2 / 3
+    assert statistics([padded])[0][7] == 2 / 3
+
+
+@pytest.mark.parametrize("kind", ["prose", "list", "table", "junk"])
+def test_every_kind_comes_from_the_nearest_profile(monkeypatch, kind):
+    compared = []
+
+    def answer(words, chars, forms):
+        compared.append(len(words))
+        return np.full(len(words), list(tq.KINDS).index(kind))
+
+    monkeypatch.setattr(tq, "nearest_profiles", answer)
+    texts = list(TEXTS.values())
+    assert {k for k, _ in tq.document_kinds(texts)} == {kind}
+    assert sum(compared) == sum(len(tq.blocks_of(t, tq._Doc(t))) for t in texts) >= len(texts)
+
+
+def test_words_outweigh_a_form():
+    # prose words in rows of cells or numbers are no table; repeated lines of prose are junk
+    words, chars, forms = [[0.33, 0.06, 0.55, 0.05, 0.01]], [[0.8, 0.02, 0.15, 0.015, 0.015, 0.0]], np.zeros((1, len(tq.FORMS)))
+    for form, kind in (("running", "prose"), ("again", "junk"), ("row", "prose"), ("numbers", "prose")):
+        forms[:] = 0
+        forms[0, tq.FORMS.index(form)] = 1
+        assert tq.KINDS[tq.nearest_profiles(words, chars, forms)[0]] == kind
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab1 .\n|;-A\t", max_size=300))
+def test_blocks_hold_every_line(text):
+    blocks = tq.blocks_of(text, tq._Doc(text))
+    assert sum(n for n, *_ in blocks) == sum(len(x) for x in tq.LINE_END.split(text) if x.strip())
+    for _, w, c, f in blocks:
+        assert all(abs(sum(x) - 1) < 1e-9 for x in (w, c, f))
+
+
+def test_long_batches_are_compared_in_parts(monkeypatch):
+    texts = list(TEXTS.values())
+    whole = tq.document_kinds(texts)
+    monkeypatch.setattr(tq, "TOGETHER", 2)
+    assert tq.document_kinds(texts) == whole and tq.document_kinds([]) == [] and statistics([]) == []

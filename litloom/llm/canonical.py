@@ -1,26 +1,37 @@
 """Problem 4 - map free-entered values to a canonical list and report what matches nothing.
 
-Values are normalised and made distinct first, so each spelling is scored once however often it was typed. Character
-n-grams of the canonical labels form an inverted index with inverse-document-frequency weights; a value's candidates
-are the labels that share n-grams with it, scored by weighted cosine. A candidate is accepted if it reaches
-``threshold`` and leads the next entry by ``margin``. Acronyms of a label are further names of it and are compared
-whole; a word cut with a full stop is completed to the label word it begins.
+Values are normalised and made distinct first, so each spelling is scored once however often it was typed. The list's
+names are cut into character n-grams; a table counts in how many names of a kind each n-gram stands and gives it its
+inverse-document-frequency weight. Names and values carry their weighted n-grams. An inverted index over the n-grams of
+a block of names retrieves a value's candidates and scores them by weighted cosine; every one that can still be accepted
+is tested for how far it is covered by the value. A candidate is accepted if it reaches ``threshold`` and leads the next
+entry by ``margin``. Acronyms of a name are compared whole; a word cut with a full stop is completed to the only word of
+the list that it begins.
+
+All that is counted over the list (weights, common words, acronyms, completions) is counted over all of it, and lists
+longer than ``BLOCK`` names are scored block by block with each block's best two entries kept, so the result doesn't
+depend on the blocks. Nothing of the list or of the values passes through the driver.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from functools import reduce
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Entries of the canonical list held by one scoring pass; longer lists are scored in blocks of this many.
-BLOCK = 50_000
+from ..runtime import cut_lineage
+
+#: Names of the canonical list in one inverted index, and distinct values scored against it in one group.
+BLOCK, VALUES = 20_000, 2_000
+#: A word in this many names of a kind distinguishes little; a name is also known without such a last word.
+COMMON = 3
 
 # Remarks around a value that carry no meaning, and placeholders for "no value".
 REMARK = (
@@ -47,79 +58,105 @@ def _grams(words: list[str]) -> list[str]:
     return [g for w in words for p in [f" {w} "] for n in (2, 3) for g in (p[i : i + n] for i in range(len(p) - n + 1))]
 
 
+@F.pandas_udf(T.StringType())
+def _normalised(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else normalise(v))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _gram_list(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: _grams(list(ws)))
+
+
+def _initials(name: Column) -> Column:
+    return F.array_join(F.transform(F.split(name, " "), lambda w: F.substring(w, 1, 1)), "")
+
+
+def _weighted(words: DataFrame, key: list[str], grams: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(key..., kind, grams, norm)`` of ``words(key..., kind, words)``: n-grams with weight by number of occurrences
+    times inverse document frequency; n-grams that no name has weigh as the rarest."""
+    counted = words.select(*key, "kind", F.explode(_gram_list("words")).alias("gram")).groupBy(*key, "kind", "gram").count()
+    idf = F.coalesce("idf", F.log1p("n_names"))
+    weighed = counted.join(grams, ["kind", "gram"], "left").join(F.broadcast(sizes), "kind").select(*key, "kind", F.struct("gram", (F.col("count") * idf).alias("w"), idf.alias("idf")).alias("g"))
+    return weighed.groupBy(*key, "kind").agg(F.sort_array(F.collect_list("g")).alias("grams"))
+
+
 class Index:
-    """Inverted n-gram index over ``(term id, name)`` pairs; several names may stand for one entry."""
-
-    def __init__(self, names: list[tuple[int, str]]):
-        entries = {(t, norm) for t, name in names if name and (norm := normalise(name))}
-        self.names = sorted(entries)
-        self.words = sorted({w for _, n in self.names for w in n.split()})
-        self.acronyms: dict[str, set[int]] = defaultdict(set)
-        for t, n in self.names:
-            words = n.split()
-            if len(words) > 1:
-                self.acronyms["".join(w[0] for w in words)].add(t)
-        seen: dict[str, int] = defaultdict(int)
-        for n in {n for _, n in self.names}:
-            for g in set(_grams(n.split())):
-                seen[g] += 1
-        self.idf = {g: float(np.log(1 + len(self.names) / c)) for g, c in seen.items()}
-        self.rare = float(np.log(1 + len(self.names)))
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, (_, n) in enumerate(self.names):
-            for g, w in self._vector(n.split()).items():
-                self.postings[g].append((i, w))
-        # words that many labels share distinguish little; a label is also known without such a last word
-        self.common = {w for w in self.words if sum(w in n.split() for _, n in self.names) >= 3}
-
-    def _vector(self, words: list[str]) -> dict[str, float]:
-        v: dict[str, float] = defaultdict(float)
-        for g in _grams(words):
-            v[g] += self.idf.get(g, self.rare)
-        norm = float(np.sqrt(sum(x * x for x in v.values()))) or 1.0
-        return {g: x / norm for g, x in v.items()}
-
-    def _completed(self, words: list[str]) -> list[str]:
-        out = []
-        for w in words:
-            stem = w.rstrip(".")
-            full = [x for x in self.words if x.startswith(stem)] if w.endswith(".") and len(stem) >= 3 else []
-            out.append(full[0] if len(full) == 1 else stem)
-        return out
-
-    def _covered(self, name: str, grams: set[str]) -> tuple[float, float]:
-        """(least, mean) weighted share of n-grams present, over the label's telling words; its last word may be left out."""
-        words = name.split()
-        shares = [sum(self.idf[g] for g in gs if g in grams) / sum(self.idf[g] for g in gs) for w in words for gs in [_grams([w])]]
-        telling = [s for w, s in zip(words, shares) if w not in self.common and len(w) > 2] or shares
-        if len(words) >= 3 and words[-1] not in self.common and shares[-1] < 0.3 and min(shares[:-1]) >= 0.6:
+    """Inverted n-gram index over a block of names with their weighted n-grams and telling words."""
+
+    def __init__(self, names: list[dict]):
+        self.names = names
+        self.postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        gathered: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
+        self.idf = []
+        for i, n in enumerate(names):
+            norm = float(np.sqrt(sum(g["w"] ** 2 for g in n["grams"]))) or 1.0
+            self.idf.append({g["gram"]: g["idf"] for g in n["grams"]})
+            for g in n["grams"]:
+                at, w = gathered[g["gram"]]
+                at.append(i)
+                w.append(g["w"] / norm)
+        self.postings = {g: (np.array(at), np.array(w)) for g, (at, w) in gathered.items()}
+
+    def _covered(self, i: int, grams: set[str]) -> tuple[float, float]:
+        """(least, mean) weighted share of n-grams present, over the name's telling words; its last word may be left out."""
+        name, idf = self.names[i], self.idf[i]
+        words, common = name["words"], set(name["common"])
+        shares = [sum(idf[g] for g in gs if g in grams) / sum(idf[g] for g in gs) for w in words for gs in [_grams([w])]]
+        telling = [s for w, s in zip(words, shares) if w not in common and len(w) > 2] or shares
+        if len(words) >= 3 and words[-1] not in common and shares[-1] < 0.3 and min(shares[:-1]) >= 0.6:
             telling = shares[:-1]
         return min(telling), sum(telling) / len(telling)
 
-    def best(self, value: str) -> tuple[int, float, float]:
-        """(term, score, lead over the next entry); term 0 if nothing is alike or a telling word of the label is missing."""
-        norm = normalise(value)
-        if norm.replace(".", "") in PLACEHOLDERS:
-            return 0, 0.0, 0.0
-        if len(hit := self.acronyms.get(norm.replace(".", "").replace(" ", ""), ())) == 1:
-            return next(iter(hit)), 1.0, 1.0
-        words = self._completed(norm.split())
-        variants = [words] + [words[:-1]] * (len(words) > 1 and words[-1] in REMARK_TAIL)
-        by_term: dict[int, float] = defaultdict(float)
-        for variant in variants:
-            score: dict[int, float] = defaultdict(float)
-            for g, w in self._vector(variant).items():
-                for i, x in self.postings.get(g, ()):
-                    score[i] += w * x
-            grams = set(_grams(variant))
-            for i, s in sorted(score.items(), key=lambda x: -x[1])[:8]:
-                least, mean = self._covered(self.names[i][1], grams)
+    def best(self, variants: list[dict[str, float]], least_score: float) -> list[tuple[float, int]]:
+        """The best two entries as ``(score, -term)``, of the names that reach ``least_score`` and are covered."""
+        by_term: dict[int, float] = {}
+        for weights in variants:
+            norm = float(np.sqrt(sum(w * w for w in weights.values()))) or 1.0
+            score = np.zeros(len(self.names))
+            for g, w in weights.items():
+                if (found := self.postings.get(g)) is not None:
+                    score[found[0]] += found[1] * (w / norm)
+            grams = set(weights)
+            for i in np.flatnonzero(score >= least_score - 1e-9):
+                least, mean = self._covered(int(i), grams)
                 if mean >= 0.4 and least >= 0.28 or mean >= 0.55 and least >= 0.2:
-                    by_term[self.names[i][0]] = max(by_term[self.names[i][0]], s)
-        top = sorted(by_term.items(), key=lambda x: (-x[1], x[0]))[:2]
-        if not top:
-            return 0, 0.0, 0.0
-        return top[0][0], top[0][1], top[0][1] - (top[1][1] if len(top) > 1 else 0.0)
+                    term = self.names[i]["term"]
+                    by_term[term] = max(by_term.get(term, 0.0), float(score[i]))
+        return sorted(((s, -t) for t, s in by_term.items()), reverse=True)[:2]
+
+
+def _scored(least_score: float):
+    """Scores the values of a group against its block of names."""
+    schema = pa.schema([("kind", pa.string()), ("norm", pa.string()), ("top", pa.list_(pa.struct([("s", pa.float64()), ("t", pa.int64())])))])
+
+    def run(key, names: pa.Table, values: pa.Table) -> pa.Table:
+        index = Index(names.select(["term", "words", "common", "grams"]).to_pylist()) if names.num_rows else None
+        out = []
+        for v in values.to_pylist() if index else ():
+            weights = {g["gram"]: g["w"] for g in v["grams"]}
+            variants = [weights]
+            if len(v["words"]) > 1 and v["words"][-1] in REMARK_TAIL:
+                last, idf = Counter(_grams(v["words"][-1:])), {g["gram"]: g["idf"] for g in v["grams"]}
+                shorter = {g: w - last[g] * idf[g] for g, w in weights.items()}
+                variants.append({g: w for g, w in shorter.items() if w > 1e-9})
+            top = index.best(variants, least_score)
+            if top:
+                out.append({"kind": v["kind"], "norm": v["norm"], "top": [{"s": s, "t": -t} for s, t in top]})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _completed(values: DataFrame, words: DataFrame) -> DataFrame:
+    """``(kind, norm, words)``: words ended by a full stop become the only word of the list that begins with them."""
+    prefixes = words.select("kind", "word", F.explode(F.sequence(F.lit(3), F.length("word"))).alias("n")).where("length(word) >= 3")
+    prefixes = prefixes.groupBy("kind", F.expr("substring(word, 1, n)").alias("stem")).agg(F.min("word").alias("full"), F.count("*").alias("n")).where("n = 1").drop("n")
+    split = values.withColumn("words", F.split("norm", " "))
+    cut = split.where(F.col("norm").contains("."))
+    each = cut.select("kind", "norm", F.posexplode("words").alias("pos", "word")).withColumn("stem", F.when(F.col("word").endswith("."), F.rtrim("word", F.lit("."))))
+    full = each.join(prefixes, ["kind", "stem"], "left").groupBy("kind", "norm").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("full", "stem", "word").alias("w")))).alias("ws"))
+    return split.where(~F.col("norm").contains(".")).unionByName(full.select("kind", "norm", F.transform("ws", lambda x: x["w"]).alias("words")))
 
 
 def map_values(
@@ -127,38 +164,50 @@ def map_values(
 ) -> DataFrame:
     """Adds ``term_id`` (0: no entry of that kind), ``score`` and ``lead`` to the rows of ``values``.
 
-    Null and blank values get null in all three. ``terms`` gives entries with their accepted names; it is read in
-    blocks of ``BLOCK`` names, so that its size is bounded in every task, and the best two of all blocks decide.
-    Repeated values cost one scoring; rows keep their other columns and their number.
+    Null and blank values get null in all three, values without an acceptable candidate score and lead 0. Repeated values
+    cost one scoring; rows keep their other columns and their number. Entries without id, kind or any name, and kinds
+    without entries, match nothing. Each group scores at most about ``VALUES`` values against one block of names.
     """
-    flat = terms.select(F.col(term_kind).alias("kind"), F.col(term_id).cast("long").alias("t"), F.explode(F.array(*names)).alias("name"))
-    listed = [(r.kind, r.t, r.name) for r in flat.where("kind is not null and t is not null and name is not null").toLocalIterator()]
-    distinct = values.select(F.col(kind_col).alias("__kind"), F.col(value_col).alias("__value")).where("__value rlike '\\\\S'").distinct()
-    # scoring costs far more than the rows weigh, so their number of tasks isn't left to their size
-    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def scorer(block):
-        def run(batches):
-            by_kind: dict[str, list[tuple[int, str]]] = defaultdict(list)
-            for kind, t, name in block:
-                by_kind[kind].append((t, name))
-            index = {k: Index(v) for k, v in by_kind.items()}
-            for b in batches:
-                pairs = zip(b.column("__kind").to_pylist(), b.column("__value").to_pylist())
-                got = [index[k].best(v) if k in index else (0, 0.0, 0.0) for k, v in pairs]
-                terms_, scores = pa.array([g[0] for g in got], pa.int64()), [pa.array([g[i] for g in got], pa.float64()) for i in (1, 2)]
-                yield pa.record_batch([*b.columns, terms_, *scores], names=["__kind", "__value", "t", "s", "l"])
-
-        return distinct.mapInArrow(run, "__kind string, __value string, t long, s double, l double")
-
-    blocks = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)] or [[]]
-    scored = reduce(DataFrame.unionByName, (scorer(b) for b in blocks))
-    if len(blocks) > 1:
-        top = F.sort_array(F.collect_list(F.struct("s", "t", "l")), asc=False)
-        scored = scored.groupBy("__kind", "__value").agg(top.alias("a")).select(
-            "__kind", "__value", F.col("a")[0]["t"].alias("t"), F.col("a")[0]["s"].alias("s"),
-            F.least(F.col("a")[0]["l"], F.col("a")[0]["s"] - F.col("a")[1]["s"]).alias("l"),
-        )
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = terms.select(F.col(term_kind).alias("kind"), F.col(term_id).cast("long").alias("term"), F.explode(F.array(*names)).alias("name"))
+    listed = flat.where("kind is not null and term is not null and name is not null").withColumn("norm", F.translate(_normalised("name"), ".", "")).where("norm <> ''")
+    listed = cut_lineage(listed.select("kind", "term", "norm").distinct())
+    forms = listed.select("kind", "norm").distinct().withColumn("words", F.split("norm", " "))
+    sizes = listed.groupBy("kind").agg(F.count("*").alias("n_names"))  # one row a kind
+    grams = forms.select("kind", F.explode(F.array_distinct(_gram_list("words"))).alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    grams = cut_lineage(grams.join(F.broadcast(sizes), "kind").select("kind", "gram", F.log1p(F.col("n_names") / F.col("n")).alias("idf")))
+    each = listed.select("kind", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    words = each.groupBy("kind", "word").count()
+    common = each.join(words.where(F.col("count") >= COMMON), ["kind", "word"]).groupBy("kind", "norm").agg(F.collect_set("word").alias("common"))
+    acronyms = listed.where(F.col("norm").contains(" ")).groupBy("kind", _initials(F.col("norm")).alias("short")).agg(F.min("term").alias("term"), F.max("term").alias("other"))
+    acronyms = acronyms.where("term = other").drop("other")
+    full = listed.join(_weighted(forms, ["norm"], grams, sizes), ["kind", "norm"]).join(common, ["kind", "norm"], "left")
+    full = full.select("kind", "term", "norm", F.split("norm", " ").alias("words"), F.coalesce("common", F.array().cast("array<string>")).alias("common"), "grams")
+
+    distinct = values.select(F.col(kind_col).alias("kind"), F.col(value_col).alias("value")).where(F.col("value").rlike(r"\S")).distinct().repartition(parts)
+    distinct = cut_lineage(distinct.withColumn("norm", _normalised("value")))
+    bare = F.translate("norm", ".", "")
+    asked = distinct.where(~bare.isin(*PLACEHOLDERS)).select("kind", "norm").distinct().withColumn("short", F.translate("norm", ". ", ""))
+    told = asked.join(acronyms, ["kind", "short"], "left")
+    by_acronym = told.where("term is not null").select("kind", "norm", F.col("term").alias("t"), F.lit(1.0).alias("s"), F.lit(1.0).alias("l"))
+    open_ = _weighted(_completed(told.where("term is null").select("kind", "norm"), words), ["norm", "words"], grams, sizes)
+
+    # groups of one kind: blocks of names times groups of values, so both sides of a group are bounded
+    n_blocks = F.ceil(F.col("n_names") / BLOCK).cast("int")
+    n_values = open_.groupBy("kind").agg(F.count("*").alias("n_values"))
+    plan = F.broadcast(sizes.join(n_values, "kind").select("kind", n_blocks.alias("blocks"), F.greatest(F.ceil(F.col("n_values") / VALUES), F.lit(1)).cast("int").alias("groups")))
+    to_block = full.join(plan, "kind").select("kind", F.pmod(F.xxhash64("norm", "term"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "term", "words", "common", "grams")
+    to_group = open_.join(plan, "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("norm"), "groups").cast("int").alias("grp"), "norm", "words", "grams")
+    by = ["kind", "block", "grp"]
+    top = to_block.groupBy(*by).cogroup(to_group.groupBy(*by)).applyInArrow(_scored(threshold - margin), "kind string, norm string, top array<struct<s:double,t:long>>")
+    merged = top.select("kind", "norm", F.explode("top").alias("x")).groupBy("kind", "norm", F.col("x.t").alias("t")).agg(F.max("x.s").alias("s"))
+    # at most two entries a block and value, kept best first, equal scores by smaller id
+    merged = merged.groupBy("kind", "norm").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", (-F.col("t")).alias("t"))), asc=False), 1, 2).alias("a"))
+    scored = merged.select("kind", "norm", (-F.col("a")[0]["t"]).alias("t"), F.col("a")[0]["s"].alias("s"), (F.col("a")[0]["s"] - F.coalesce(F.get("a", F.lit(1))["s"], F.lit(0.0))).alias("l"))
+    scored = scored.unionByName(by_acronym)
     good = (F.col("s") >= threshold) & (F.col("l") >= margin)
-    mapped = scored.select("__kind", "__value", F.when(good, F.col("t")).otherwise(0).alias("term_id"), F.col("s").alias("score"), F.col("l").alias("lead"))
-    return values.join(mapped, (F.col(kind_col) == F.col("__kind")) & (F.col(value_col) == F.col("__value")), "left").drop("__kind", "__value")
+    mapped = distinct.join(scored, ["kind", "norm"], "left").select(
+        F.col("kind").alias("__kind"), F.col("value").alias("__value"), F.when(good, F.col("t")).otherwise(0).alias("term_id"), F.coalesce("s", F.lit(0.0)).alias("score"), F.coalesce("l", F.lit(0.0)).alias("lead")
+    )
+    kept = values.drop("term_id", "score", "lead")
+    return kept.join(mapped, kept[kind_col].eqNullSafe(F.col("__kind")) & (kept[value_col] == F.col("__value")), "left").drop("__kind", "__value")

@@ -1,24 +1,29 @@
 """Problem 3 - the k most similar vectors of every vector.
 
-Vantage points drawn from the collection divide it into shards (the cell of the nearest vantage point). A vector goes
-to its own shard and to every shard that the triangle inequality, relaxed by ``factor``, does not rule out; in each
-shard a vantage-point tree answers all of the shard's vectors at once. With ``factor=1`` and ``tree_factor=1`` only impossible shards and
-branches are left out, so the search is exact; larger factors prune what is unlikely.
-
-Bounds used, with ``tau`` an upper bound of the distance to the k-th neighbour (at first that to the k-th nearest
-vantage point, which is itself a row, in a tree that to the k-th found so far; the trees' tighter ``tau`` goes with a
-smaller factor of their own, ``tree_factor``): a shard whose vantage point is ``d_s`` away holds nothing closer than
+A bounded sample of the rows, drawn evenly by hash, gives the vantage points: sampled rows, moved to the middle of the
+sampled rows near them. They divide the collection into shards (the cell of the nearest vantage point), which so follow
+the data's own density. A vector goes to its own shard and to every shard that the triangle inequality, relaxed by
+``factor``, does not rule out; in each shard a vantage-point tree answers all of the shard's vectors at once. With
+``factor=1`` and ``tree_factor=1`` only impossible shards and branches are left out, so the search is exact; larger
+factors prune what is unlikely. Every row is indexed and searched.
+
+Bounds used, with ``tau`` an upper bound of the distance to the k-th neighbour (at first that to the k-th nearest of the
+sampled rows that began the vantage points, in a tree that to the k-th found so far; the trees' tighter ``tau`` goes with
+a smaller factor of their own, ``tree_factor``): a shard whose vantage point is ``d_s`` away holds nothing closer than
 ``(d_s - d_home) / 2``; the far side of a tree node holds nothing closer than ``|d - mu|``.
 
-A list that stays short because its shard is small is completed from the vantage points, which every task knows.
+A shard of more than ``shard_rows`` rows is cut into blocks by hash and searched block against block, each pair of blocks
+a group of its own: the same neighbours come out, and no group holds more than about twice that many rows. A list that
+stays short because its shard is small is completed from the sampled rows, which every task knows.
 
 Exact copies of a vector are searched once and expanded afterwards, so a vector that a third of all rows share costs
-one search. Shards follow the data's own density because vantage points are rows drawn evenly by hash.
+one search.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,13 @@ from pyspark.sql import functions as F
 
 from .packing_vectors import pack, unpack
 
-#: Most vantage points, and so most vectors ever sent to the driver or to a worker's closure.
+#: Most vantage points, and so most vectors in a worker's closure (twice).
 MAX_VANTAGE = 8192
+#: Sampled rows for each vantage point, and most of all: these are the vectors that reach the driver.
+SAMPLE_EACH, MAX_SAMPLE = 24, 65_536
+#: Times that the vantage points move to the middle of their sampled rows.
+ROUNDS = 3
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,6 +64,20 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], x[good]
 
 
+def _middles(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Unit vectors moved to the middle of the rows of ``x`` that are nearest to them; those without rows stay."""
+    points = start.copy()
+    for _ in range(ROUNDS):
+        home = np.concatenate([(x[lo : lo + 4096] @ points.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
+        order = np.argsort(home, kind="stable")
+        present, first = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(x[order].astype(np.float64), first, axis=0)
+        size = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        ok = size > 1e-9
+        points[present[ok]] = (sums[ok] / size[ok, None]).astype(np.float32)
+    return points
+
+
 class _Tree:
     """Vantage-point tree over unit vectors, searched for all of them together."""
 
@@ -151,39 +175,40 @@ def _search_shard(t: pa.Table, dim: int, k: int, factor: float, leaf: int, vanta
 
 
 def nearest_neighbours(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 50.0, tree_factor: float = 10.0, n_vantage: int | None = None, leaf: int = 512
+    df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 100.0, tree_factor: float = 10.0, n_vantage: int | None = None, leaf: int = 512, shard_rows: int = 25_000
 ) -> DataFrame:
     """``(id, neighbour, rank, cosine)``: up to ``k`` neighbours of each usable vector by cosine, equal cosines by smaller id.
 
-    Usable are vectors of the collection's most frequent width without null, NaN or infinite components that are not
-    all zero; other rows neither ask nor answer. Rows with equal vectors are neighbours of each other (cosine 1).
-    ``n_vantage`` defaults to the square root of the row count, 16 to 8192; it bounds what reaches the driver.
-    An empty input gives no rows.
+    Usable are vectors without null, NaN or infinite components that are not all zero; other rows neither ask nor answer.
+    Vectors of different width are not compared: each width that occurs is a search of its own. Rows with equal vectors
+    are neighbours of each other (cosine 1). Ids are whole numbers, anything else is an error; rows without id take no
+    part. ``n_vantage`` defaults to the square root of the row count, 16 to 8192. An empty input gives no rows.
     """
-    spark = df.sparkSession
+    if dict(df.dtypes)[id_col] not in INTEGERS:
+        raise TypeError(f"ids must be whole numbers, {id_col} is {dict(df.dtypes)[id_col]}")
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v is not null and id is not null and size(v) > 0")
-    widths = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    if not widths:
-        return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
-    dim, n = widths[0]["w"], widths[0]["count"]
+    widths = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").collect()  # one row a width
+    found = [_neighbours(base.where(F.size("v") == r["w"]), r["w"], r["count"], k, factor, tree_factor, n_vantage, leaf, shard_rows) for r in widths]
+    found = [x for x in found if x is not None]
+    return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], "id long, neighbour long, rank int, cosine double")
+
+
+def _neighbours(base: DataFrame, dim: int, n: int, k: int, factor: float, tree_factor: float, n_vantage: int | None, leaf: int, shard_rows: int) -> DataFrame | None:
+    """``nearest_neighbours`` among ``n`` vectors of one width; None if none is usable."""
     want = n_vantage or min(MAX_VANTAGE, max(16, math.isqrt(n)))
-    even = base.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(2 * want)
+    even = base.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(min(max(2 * want, SAMPLE_EACH * want), max(2 * want, MAX_SAMPLE)))
     drawn = even.select("v", F.xxhash64("v").alias("x")).toArrow()
-    _, x = _matrix(drawn.column("v"), dim)
-    kept = list(dict.fromkeys(pack(x)))[:want]
-    if not kept:
-        return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
+    at, x = _matrix(drawn.column("v"), dim)
+    by_vector = dict(zip(reversed(pack(x)), np.asarray(drawn.column("x"))[at][::-1].tolist()))
+    sampled = list(reversed(by_vector))
+    if not sampled:
+        return None
+    kept = sampled[:want]
     raw_vantage = unpack(kept, dim)
     vantage = _unit(raw_vantage)
+    points = _middles(_unit(unpack(sampled, dim)), vantage)
     place = {r: i for i, r in enumerate(kept)}
-    hashes = sorted(set(drawn.column("x").to_pylist()))
-    same = base.where((F.size("v") == dim) & F.xxhash64("v").isin(hashes))
-    copies = same.withColumn("rn", F.row_number().over(Window.partitionBy(F.xxhash64("v")).orderBy("id"))).where(F.col("rn") <= k + 1).select("id", "v").toArrow()
-    at, x = _matrix(copies.column("v"), dim)
-    vantage_ids: list[list[int]] = [[] for _ in kept]  # at most k + 1 of the rows that share a vantage point's vector
-    for i, r in zip(np.asarray(copies.column("id"))[at], pack(x)):
-        if r in place:
-            vantage_ids[place[r]].append(int(i))
+    digests = [xxhash.xxh3_128_digest(r) for r in kept]
 
     def keyed(batches):
         for b in batches:
@@ -200,36 +225,66 @@ def nearest_neighbours(
     rows = base.mapInArrow(keyed, "id long, h binary, packed binary")
     smallest = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("rn") <= k + 1)
     distinct = smallest.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("packed", "id").alias("packed"))
+    wanted = set(digests)
+
+    def of_vantage(batches):
+        for b in batches:
+            at, x = _matrix(b.column("v"), dim)
+            hit = [(i, r) for i, r in zip(at.tolist(), pack(x)) if xxhash.xxh3_128_digest(r) in wanted]
+            yield pa.record_batch({"id": b.column("id").take(pa.array([i for i, _ in hit], pa.int64())), "packed": pa.array([r for _, r in hit], pa.binary())})
+
+    # at most k + 1 of the rows that share a vantage point's vector
+    alike = base.where(F.xxhash64("v").isin(sorted({by_vector[r] for r in kept})))
+    copies = alike.mapInArrow(of_vantage, "id long, packed binary").withColumn("rn", F.row_number().over(Window.partitionBy("packed").orderBy("id"))).where(F.col("rn") <= k + 1)
+    vantage_ids: list[list[int]] = [[] for _ in kept]
+    for r in copies.select("id", "packed").toLocalIterator():
+        vantage_ids[place[bytes(r["packed"])]].append(r["id"])
+
+    def shards(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of every shard that a row goes to."""
+        d = _distance(x @ points.T)
+        home = d.min(axis=1, keepdims=True)
+        tau = np.full(len(x), 2.0)
+        if len(vantage) > k + 1:
+            tau = _distance(np.partition(x @ vantage.T, -(k + 2), axis=1)[:, -(k + 2)])
+        return np.nonzero(factor * (d - home) / 2 <= tau[:, None])
 
     def route(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(unpack(b.column("packed").to_pylist(), dim))
-            d = _distance(x @ vantage.T)
-            home = d.min(axis=1, keepdims=True)
-            near = np.partition(d, min(k + 1, d.shape[1] - 1), axis=1)[:, min(k + 1, d.shape[1] - 1)]
-            tau = near if d.shape[1] > k + 1 else np.full(len(x), 2.0)
-            q, shard = np.nonzero(factor * (d - home) / 2 <= tau[:, None])
+            q, shard = shards(_unit(unpack(b.column("packed").to_pylist(), dim)))
             part = b.take(pa.array(q))
             yield pa.record_batch({"shard": pa.array(shard.astype(np.int32)), **{c: part.column(c) for c in ("h", "ids", "packed")}})
 
-    routed = distinct.mapInArrow(route, "shard int, h binary, ids array<long>, packed binary")
-    found = routed.groupBy("shard").applyInArrow(
+    def sizes(batches):
+        total = np.zeros(len(points), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount(shards(_unit(unpack(b.column("packed").to_pylist(), dim)))[1], minlength=len(points))
+        yield pa.record_batch({"shard": pa.array(np.arange(len(points), dtype=np.int32)), "n": pa.array(total)})
+
+    # blocks of the shards: one row a shard, so bounded by the vantage points
+    blocks = distinct.select("packed").mapInArrow(sizes, "shard int, n long").groupBy("shard").agg(F.greatest(F.ceil(F.sum("n") / shard_rows), F.lit(1)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    routed = distinct.mapInArrow(route, "shard int, h binary, ids array<long>, packed binary").join(F.broadcast(blocks), "shard").withColumn("own", own)
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    routed = routed.withColumn("pair", F.explode(pair)).select("shard", "pair.i", "pair.j", "h", "ids", "packed")
+    found = routed.groupBy("shard", "i", "j").applyInArrow(
         lambda t: _search_shard(t, dim, k, tree_factor, leaf, raw_vantage, vantage_ids), "h binary, ids array<long>, near array<struct<far:double,id:long>>"
     )
     lists = found.groupBy("h").agg(
         F.first("ids").alias("ids"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near")
     )
-    own: Column = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("id")))
+    copies_first: Column = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("id")))
     members = rows.select("id", "h").join(lists, "h")
-    ranked = F.slice(F.array_sort(F.filter(F.concat(own, "near"), lambda s: s["id"] != F.col("id"))), 1, k)
+    ranked = F.slice(F.array_sort(F.filter(F.concat(copies_first, "near"), lambda s: s["id"] != F.col("id"))), 1, k)
     return members.select("id", F.posexplode(ranked).alias("pos", "n")).select(
         "id", F.col("n.id").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("n.far")).alias("cosine")
     )
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 50.0, **kw) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 10, factor: float = 100.0, **kw) -> DataFrame:
     """``(a, b)``, a < b, distinct: one of the two is among the other's ``k`` nearest (see ``nearest_neighbours``)."""
     n = nearest_neighbours(df, id_col, vec_col, k, factor, **kw)
     return n.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()

@@ -196,8 +196,10 @@ def nearest_neighbours(
 def _neighbours(base: DataFrame, dim: int, n: int, k: int, factor: float, tree_factor: float, n_vantage: int | None, leaf: int, shard_rows: int) -> DataFrame | None:
     """``nearest_neighbours`` among ``n`` vectors of one width; None if none is usable."""
     want = n_vantage or min(MAX_VANTAGE, max(16, math.isqrt(n)))
-    even = base.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(min(max(2 * want, SAMPLE_EACH * want), max(2 * want, MAX_SAMPLE)))
-    drawn = even.select("v", F.xxhash64("v").alias("x")).toArrow()
+    # rows whose hash is below a bound, so that no task has to order them; each row once however often it is repeated
+    size, spread = max(2 * want, min(SAMPLE_EACH * want, MAX_SAMPLE)), 2**30
+    even = base.select("v", F.xxhash64("v").alias("x"), F.xxhash64("id", "v", F.lit(17)).alias("o")).where(F.pmod("o", F.lit(spread)) < math.ceil(spread * min(1.0, size / n)))
+    drawn = even.dropDuplicates(["o"]).toArrow().sort_by("o")
     at, x = _matrix(drawn.column("v"), dim)
     by_vector = dict(zip(reversed(pack(x)), np.asarray(drawn.column("x"))[at][::-1].tolist()))
     sampled = list(reversed(by_vector))
@@ -265,7 +267,7 @@ def _neighbours(base: DataFrame, dim: int, n: int, k: int, factor: float, tree_f
         yield pa.record_batch({"shard": pa.array(np.arange(len(points), dtype=np.int32)), "n": pa.array(total)})
 
     # blocks of the shards: one row a shard, so bounded by the vantage points
-    blocks = distinct.select("packed").mapInArrow(sizes, "shard int, n long").groupBy("shard").agg(F.greatest(F.ceil(F.sum("n") / shard_rows), F.lit(1)).cast("int").alias("blocks"))
+    blocks = distinct.mapInArrow(sizes, "shard int, n long").groupBy("shard").agg(F.greatest(F.ceil(F.sum("n") / shard_rows), F.lit(1)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     routed = distinct.mapInArrow(route, "shard int, h binary, ids array<long>, packed binary").join(F.broadcast(blocks), "shard").withColumn("own", own)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))

@@ -1,32 +1,38 @@
 """Problem 8 - find documents of a corpus that hold passages of held-out test items.
 
-Each task gathers its documents into shards and builds the shard's suffix array over words, by doubling ranks of two,
-four and six words. Every suffix of every test item is looked up in it by binary search, which gives all places that
-share at least six words with the item. Each longest verbatim match is then extended to both sides by banded alignment;
+Each task gathers its documents into shards and builds the shard's suffix array over words: its suffixes in the order of
+their first six words, by doubling ranks of two, four and six words (what lies beyond is compared directly). Every suffix
+of every test item is looked up in it by binary search, which gives all places that share at least six words with the
+item; they are taken up ``PAIRS`` at a time, so words that all texts repeat cost time but not memory. Each longest verbatim match is then extended to both sides by banded alignment;
 a document is reported if ``min_words`` words of an item stand in it with at most one word in ``words_per_edit``
 replaced, dropped or added. Any such passage of 25 words with at most 3 edits holds a verbatim run of six words, so no
 passage is missed for want of a seed. Nor for want of band or reach: if there is a passage, there is one of at most 49
 words (of two halves of 25 words or more one has no more than its share of the edits), which has at most 6 edits.
 
-The corpus is read once and not shuffled; only the test items travel, in blocks of bounded size.
+The corpus is read, cut into words and searched once, whatever the number of test items, and isn't shuffled; only the
+test items travel, broadcast in blocks of bounded size that the driver holds one at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SEED = 6
 REACH, BAND = 48, 6
 PAD = REACH + BAND + 2
-#: Words of test items that one pass over the corpus carries; larger sets take several passes.
+#: Words of test items in a broadcast block.
 BLOCK_WORDS = 2_000_000
+#: Places looked at together.
+PAIRS = 1_000_000
 #: Words of documents in a suffix array; a longer document forms a shard of its own.
 SHARD_WORDS = 400_000
 
@@ -43,16 +49,19 @@ def words_of(text: str | None) -> list[str]:
 
 
 class _Items:
-    """The test items of a block as word ids, and the ranks of their six-word windows in a shard."""
+    """A block of test items as word ids, and the windows of six words in them."""
 
-    def __init__(self, block: list[tuple[int, list[str]]]):
+    def __init__(self, block: list[tuple[Any, list[str]]]):
+        self.names = list(dict.fromkeys(i for i, _ in block))
+        number = {x: i for i, x in enumerate(self.names)}
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in block for w in ws}))}
-        parts, owner = [np.full(PAD, -1)], [np.full(PAD, -1)]
+        gap = np.full(PAD, -1, dtype=np.int64)
+        parts, owner, start = [gap], [gap], [gap]
         for item, ws in block:
-            parts += [np.array([self.vocabulary[w] for w in ws], dtype=np.int64), np.full(PAD, -1)]
-            owner += [np.full(len(ws), item), np.full(PAD, -1)]
-        self.ids, self.owner = np.concatenate(parts).astype(np.int64), np.concatenate(owner)
-        self.start = np.concatenate([np.arange(len(p)) if p[:1] != [-1] and len(p) else np.zeros(len(p), dtype=int) for p in parts])
+            parts += [np.array([self.vocabulary[w] for w in ws], dtype=np.int64), gap]
+            owner += [np.full(len(ws), number[item]), gap]
+            start += [np.arange(len(ws)), gap]
+        self.ids, self.owner, self.start = np.concatenate(parts), np.concatenate(owner), np.concatenate(start)
         bad = np.concatenate([[0], np.cumsum(self.ids < 0)])
         n = len(self.ids) - SEED + 1
         self.windows = np.flatnonzero(bad[SEED : SEED + n] == bad[:n])
@@ -71,15 +80,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _seeds(items: _Items, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item position, text position) of every six-word match, from the text's suffix array."""
+def _seeds(items: _Items, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item position, text position) of every six-word match, from the text's suffix array, ``PAIRS`` at a time."""
     v = len(items.vocabulary) + 1
     bad = np.concatenate([[0], np.cumsum(t == 0)])
     n = len(t) - SEED + 1
     p = np.flatnonzero(bad[SEED : SEED + n] == bad[:n])  # the suffixes that start with six known words
-    none = np.empty(0, dtype=np.int64)
     if not len(p) or not len(items.windows):
-        return none, none
+        return
     k2, r2 = _rank(t[p], t[p + 1], v)
     k2b, r2b = _rank(t[p + 2], t[p + 3], v)
     k2c, r2c = _rank(t[p + 4], t[p + 5], v)
@@ -95,10 +103,11 @@ def _seeds(items: _Items, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w, q6 = w[ok], _find(k6, q4[ok] * len(k2c) + q2c[ok])
     w, q6 = w[q6 >= 0], q6[q6 >= 0]
     lo, hi = np.searchsorted(ordered, q6, "left"), np.searchsorted(ordered, q6, "right")
-    count = hi - lo
-    k = np.repeat(w, count)
-    within = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-    return k, p[suffixes[np.repeat(lo, count) + within]]
+    ends = np.cumsum(hi - lo)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        pair = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        of = np.searchsorted(ends, pair, "right")
+        yield w[of], p[suffixes[hi[of] - (ends[of] - pair)]]
 
 
 def _edits(a: np.ndarray, t: np.ndarray, k: np.ndarray, p: np.ndarray, step: int) -> np.ndarray:
@@ -136,8 +145,13 @@ def _holds(left: np.ndarray, right: np.ndarray, run: np.ndarray, min_words: int,
 
 def _passages(items: _Items, t: np.ndarray, min_words: int, per_edit: int) -> tuple[np.ndarray, ...]:
     """(item position, text position, words, edits) of the passages found in a shard."""
+    found = [x for k, p in _seeds(items, t) for x in _extended(items, t, k, p, min_words, per_edit)]
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else tuple(np.empty(0, dtype=int) for _ in range(4))
+
+
+def _extended(items: _Items, t: np.ndarray, k: np.ndarray, p: np.ndarray, min_words: int, per_edit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The passages around the longest matches among some places."""
     a = items.ids
-    k, p = _seeds(items, t)
     first = a[k - 1] != t[p - 1]  # the start of each longest match
     k, p = k[first], p[first]
     run = np.full(len(k), SEED)
@@ -146,7 +160,6 @@ def _passages(items: _Items, t: np.ndarray, min_words: int, per_edit: int) -> tu
         alive = alive[a[k[alive] + run[alive]] == t[p[alive] + run[alive]]]
         run[alive] += 1
     a, t = a.astype(np.int32), t.astype(np.int32)
-    found = []
     for lo in range(0, len(k), 4096):
         kk, pp, rr = k[lo : lo + 4096], p[lo : lo + 4096], run[lo : lo + 4096]
         right, left = _edits(a, t, kk + rr, pp + rr, 1), _edits(a, t, kk - 1, pp - 1, -1)
@@ -162,43 +175,43 @@ def _passages(items: _Items, t: np.ndarray, min_words: int, per_edit: int) -> tu
             better = size > best
             best[better], at[better], cost[better] = size[better], x, edits[top, np.arange(len(kk))][better]
         hit = best > 0
-        found.append((kk[hit] - at[hit], pp[hit] - at[hit], best[hit], cost[hit]))
-    return tuple(np.concatenate(c) if found else np.empty(0, dtype=int) for c in zip(*found)) if found else tuple(np.empty(0, dtype=int) for _ in range(4))
+        yield kk[hit] - at[hit], pp[hit] - at[hit], best[hit], cost[hit]
 
 
-def _search(block: list[tuple[int, list[str]]], min_words: int, per_edit: int):
+def _search(blocks: list[Broadcast], item_type: pa.DataType, min_words: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(block)
-        lookup = items.vocabulary.get
-        ids: list[int] = []
-        texts: list[np.ndarray] = []
-        size = 0
+        ids: list[Any] = []
+        texts: list[list[str]] = []
+        size, doc_type = 0, pa.null()
 
         def flush() -> pa.RecordBatch:
-            pad = np.zeros(PAD, dtype=np.int64)
-            parts = [pad]
-            for x in texts:
-                parts += [x, pad]
-            t = np.concatenate(parts)
+            gap = np.zeros(PAD, dtype=np.int64)
             starts = PAD + np.concatenate([[0], np.cumsum([len(x) + PAD for x in texts])])[:-1]
-            k, p, words, edits = _passages(items, t, min_words, per_edit)
-            doc = np.searchsorted(starts, p + words // 2, "right") - 1
-            item = items.owner[k]
-            order = np.lexsort((-words, doc, item))
-            keep = np.ones(len(order), dtype=bool)
-            keep[1:] = (item[order][1:] != item[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-            o = order[keep]
+            best: dict[tuple[Any, int], tuple[int, int, int, int]] = {}
+            for block in blocks:
+                items = block.value
+                lookup = items.vocabulary.get
+                parts = [gap]
+                for x in texts:
+                    parts += [np.array([lookup(w, 0) for w in x], dtype=np.int64), gap]
+                k, p, words, edits = _passages(items, np.concatenate(parts), min_words, per_edit)
+                docs = np.searchsorted(starts, p + words // 2, "right") - 1
+                for x in zip(items.owner[k].tolist(), docs.tolist(), words.tolist(), edits.tolist(), items.start[k].tolist(), (p - starts[docs]).tolist()):
+                    pair, passage = (items.names[x[0]], x[1]), (x[2], -x[3], x[4], x[5])
+                    if pair not in best or best[pair][:2] < passage[:2]:
+                        best[pair] = passage
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # a worker holds one block at a time
+            found = list(best.items())
+            numbers = {c: pa.array([x[i] for _, x in found], pa.int32()) for c, i in (("item_start", 2), ("doc_start", 3), ("words", 0))}
             return pa.record_batch(
-                {
-                    "item_id": pa.array(item[o].astype(np.int64)), "doc_id": pa.array(np.array(ids, dtype=np.int64)[doc[o]]),
-                    "item_start": pa.array(items.start[k[o]].astype(np.int32)), "doc_start": pa.array((p[o] - starts[doc[o]]).astype(np.int32)),
-                    "words": pa.array(words[o].astype(np.int32)), "edits": pa.array(edits[o].astype(np.int32)),
-                }
+                {"item_id": pa.array([i for (i, _), _ in found], item_type), "doc_id": pa.array([ids[d] for (_, d), _ in found], doc_type), **numbers, "edits": pa.array([-x[1] for _, x in found], pa.int32())}
             )
 
         for b in batches:
+            doc_type = b.column("id").type
             for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                x = np.array([lookup(w, 0) for w in words_of(text)], dtype=np.int64)
+                x = words_of(text)
                 if len(x) < SEED:
                     continue
                 ids.append(doc)
@@ -219,26 +232,28 @@ def leaked_passages(
     """``(item_id, doc_id, item_start, doc_start, words, edits)``: the longest passage (up to 48 words beyond a verbatim
     run to either side) of an item in a document, once for each pair that has one.
 
-    Positions count words from 0. Items shorter than ``min_words`` words match nothing; null and empty texts neither.
+    Ids keep their types. Positions count words from 0. Items shorter than ``min_words`` words match nothing; null and empty texts neither.
     Rows with a repeated document id give one row each.
     """
     if min_words < SEED:
         raise ValueError(f"min_words must be at least {SEED}")
-    schema = "item_id long, doc_id long, item_start int, doc_start int, words int, edits int"
-    corpus = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
+    sc = docs.sparkSession.sparkContext
+    kinds = {name: df.schema[c].dataType for name, df, c in (("item_id", items, item_id), ("doc_id", docs, doc_id))}
+    schema = ", ".join([*(f"{name} {kind.simpleString()}" for name, kind in kinds.items()), "item_start int, doc_start int, words int, edits int"])
+    corpus = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
     blocks, block, size = [], [], 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for r in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
         w = words_of(r.t)
         if len(w) >= min_words:
             block.append((r.i, w))
             size += len(w)
         if size >= BLOCK_WORDS:
-            blocks.append(block)
+            blocks.append(sc.broadcast(_Items(block)))
             block, size = [], 0
-    blocks += [block] if block else []
+    blocks += [sc.broadcast(_Items(block))] if block else []
     if not blocks:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, (corpus.mapInArrow(_search(b, min_words, words_per_edit), schema) for b in blocks))
+    return corpus.mapInArrow(_search(blocks, to_arrow_type(kinds["item_id"]), min_words, words_per_edit), schema)
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

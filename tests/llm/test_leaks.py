@@ -109,3 +109,53 @@ def test_edits_in_one_place(spark):
     around = [(i, " ".join(other[20:40] + w + other[40:])) for i, w in docs.items()]
     found, _ = run(spark, around, [(7, " ".join(words))])
     assert sorted((r.doc_id, r.words, r.edits) for r in found.collect()) == [(1, 40, 4), (2, 40, 4), (3, 40, 5), (4, 40, 5)]
+
+
+def test_ids_of_any_type_and_repeated_items_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 1)
+    base = " ".join(f"word{i}" for i in range(30))
+    d, e = spark.createDataFrame([("d1", base), ("d2", "x")], "doc_id string, text string"), spark.createDataFrame([("i", base), ("i", base + " more"), ("j", base)], "item_id string, text string")
+    found = leaked_passages(d, e, "doc_id", "text", "item_id", "text")
+    assert found.dtypes[:2] == [("item_id", "string"), ("doc_id", "string")]
+    assert sorted((r.item_id, r.doc_id, r.words) for r in found.collect()) == [("i", "d1", 31), ("j", "d1", 30)]  # a word dropped at the end is within the edits
+
+
+def test_repeated_words_are_taken_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PAIRS", 50)
+    phrase, rest = [f"p{i}" for i in range(8)], [f"q{i}" for i in range(30)]
+    docs = [(i, " ".join([*phrase, f"n{i}"] * 9 + (rest if i % 3 == 0 else []))) for i in range(12)]
+    found, _ = run(spark, docs, [(1, " ".join([*phrase, *rest])), (2, " ".join([*phrase, "x1", *phrase, "x2", *phrase, "x3"]))])
+    rows = {(r.item_id, r.doc_id) for r in found.collect()}
+    assert {d for i, d in rows if i == 1} == {0, 3, 6, 9} and {d for i, d in rows if i == 2} == set(range(12))
+
+
+def brute_holds(item, doc, min_words=25, per_edit=8):
+    """Is there a passage? Every start in item and document, every length, by plain alignment."""
+    for a in range(len(item)):
+        for b in range(len(doc)):
+            if item[a] != doc[b]:
+                continue
+            row = list(range(len(doc) - b + 1))
+            for n, x in enumerate(item[a:], 1):
+                prev, row = row, [n]
+                for j, y in enumerate(doc[b:], 1):
+                    row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+                if n >= min_words and min(row) * per_edit <= n:
+                    return True
+    return False
+
+
+def test_clustered_edits_against_plain_alignment(spark):
+    rng = random.Random(8)
+    item = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        start, size = rng.randrange(0, 20), rng.randrange(22, 40)
+        part = item[start : start + size]
+        for _ in range(rng.choice([1, 1, 2])):
+            at, n = rng.randrange(3, len(part) - 3), rng.randrange(1, 6)
+            new = [f"e{rng.randrange(50)}" for _ in range(n)]
+            part = rng.choice([part[:at] + new + part[at:], part[:at] + part[at + n :], part[:at] + new + part[at + n :]])
+        docs.append((i, ["x"] * 3 + part + ["y"] * 3))
+    found, _ = run(spark, [(i, " ".join(w)) for i, w in docs], [(1, " ".join(item))])
+    assert {r.doc_id for r in found.collect()} == {i for i, w in docs if brute_holds(item, w)}

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.similarity import jaro_winkler, norm_key, norm_text
+from ..functions.similarity import jaro_winkler, norm_key
 from ..functions.text import declared_filename, file_name, first_non_blank, non_blank, normalise_authors, normalise_doi, parse_year, strip_extension
+from ..runtime import cut_lineage
 
 
 def entries_to_meta(entries: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def entries_to_meta(entries: DataFrame) -> DataFrame:
     )
 
 
-def problems() -> Column:
-    """Blocking problems of a library row, as an array."""
+def problems(readable: Column | None = None) -> Column:
+    """Blocking problems of a library row, as an array; ``readable`` tells of a row with a file whether that can be read."""
     no_file = ~F.coalesce(non_blank("declared_file"), F.lit(False))
     return F.array_compact(
         F.array(
@@ -34,6 +37,7 @@ def problems() -> Column:
             F.when(~F.coalesce(non_blank("title"), F.lit(False)), "missing title"),
             F.when(no_file, "no attachment declared"),
             F.when(~no_file & F.col("pdf_path").isNull(), F.concat(F.lit("attachment not found: "), "declared_file")),
+            F.when(F.col("pdf_path").isNotNull() & ~F.coalesce(F.lit(True) if readable is None else readable, F.lit(True)), F.concat(F.lit("PDF is not readable: "), "pdf_path")),
         )
     )
 
@@ -65,61 +69,128 @@ def first_wins_duplicates(rows: DataFrame, pos: str, citekey: str = "citekey", d
     return with_doi.join(first_title, "__t", "left").withColumn("duplicate_of", F.coalesce("__dup", by_title)).select(*rows.columns, "duplicate_of")
 
 
+def _named(rows: DataFrame, config: Config) -> DataFrame:
+    """Library rows with their place in the order of claiming, normalised stem and title, and what a fuzzy match probes."""
+    stem, head = norm_key(strip_extension("declared_file")), norm_key("title")
+    named = rows.select("citekey", "title", "declared_file").where("citekey is not null").distinct()
+    turn = F.struct(F.col("declared_file").isNull().alias("bare"), F.col("citekey").alias("k"), F.col("declared_file").alias("d"), F.col("title").alias("t"))
+    return named.select("citekey", turn.alias("turn"), stem.alias("stem"), head.alias("head"), F.coalesce(stem, head).alias("probe"))
+
+
+def _wishes(named: DataFrame, disk: DataFrame, n: int) -> DataFrame:
+    """``(turn, wish, path)`` of matches by name; ``wish`` orders a row's candidates, equal names go to the smaller path."""
+
+    def wish(step: int, how: str, size: Column, path: str = "path") -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(0.0).cast("double").alias("unlike"), size.alias("size"), F.col(path).alias("p"), F.lit(how).alias("how")).alias("wish")
+
+    first = disk.groupBy("norm").agg(F.min("path").alias("path"))
+    exact = named.join(first, named["stem"] == first["norm"]).select("turn", wish(0, "exact", F.lit(0)), "path")
+    long = disk.where(F.length("norm") >= n).withColumn("start", F.substring("norm", 1, n))
+    stems = named.where(F.length("stem") >= n).select("turn", "stem", F.substring("stem", 1, n).alias("start"))
+    prefix = stems.join(long, "start").where(F.startswith("norm", "stem")).select("turn", wish(1, "prefix", F.col("size")), "path")
+    heads = named.where(F.length("head") >= n).select("turn", "head", F.substring("head", 1, n).alias("start"))
+    longer = heads.join(long, "start").where(F.startswith("norm", "head"))
+    # a file name that the title starts with is one of the title's beginnings
+    starts = heads.select("turn", "head", F.explode(F.sequence(F.lit(0), F.length("head") - 1)).alias("len")).withColumn("norm", F.expr("substring(head, 1, len)"))
+    shorter = starts.join(disk, "norm")
+    title = longer.select("turn", wish(2, "title", F.col("size")), "path").unionByName(shorter.select("turn", wish(2, "title", F.col("size")), "path"))
+    return exact.unionByName(prefix).unionByName(title)
+
+
+#: Names in one group of the fuzzy comparison.
+FUZZY_ROWS, FUZZY_FILES = 500, 5_000
+_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    return np.array([[x.count(c) for c in _SYMBOLS] for x in names], dtype=np.int16).reshape(len(names), len(_SYMBOLS))
+
+
+def _fuzzy(asked: DataFrame, disk: DataFrame, threshold: float) -> DataFrame:
+    """``(turn, wish, path)`` of files whose name, cut to the probe's length, is alike by Jaro-Winkler.
+
+    The asked rows are a query set that is compared with all files, in blocks of both. Of a block's pairs only those are
+    scored whose letters in common allow the threshold: with ``m`` matching letters Jaro is at most
+    ``(m / |a| + m / |b| + 1) / 3``, and four equal first letters add at most 0.4 of what it lacks.
+    """
+    n_asked, n_files = asked.count(), disk.count()
+    groups, blocks = max(1, -(-n_asked // FUZZY_ROWS)), max(1, -(-n_files // FUZZY_FILES))
+    least = (threshold - 0.4) / 0.6
+
+    def compare(key, rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(files):
+            by_length: dict[int, list[int]] = defaultdict(list)
+            for i, p in enumerate(rows["probe"]):
+                by_length[len(p)].append(i)
+            for length, members in by_length.items():
+                clipped = [x[:length] for x in files["norm"]]
+                names, where = np.unique(np.array(clipped, dtype=object), return_inverse=True)
+                sizes, letters = np.array([len(x) for x in names]), _letters(list(names))
+                own = _letters([rows["probe"].iloc[i] for i in members])
+                at = defaultdict(list)
+                for f, w in enumerate(where):
+                    at[w].append(f)
+                for i, mine in zip(members, own):
+                    m = np.minimum(letters, mine).sum(axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        bound = (m / length + np.where(sizes > 0, m / np.maximum(sizes, 1), 0) + 1) / 3 if length else np.ones(len(names))
+                    for w in np.flatnonzero(bound >= least - 1e-9):
+                        score = jaro_winkler(rows["probe"].iloc[i], names[w])
+                        if score >= threshold and score > 0:
+                            out += [(rows["id"].iloc[i], score, files["path"].iloc[f]) for f in at[w]]
+        return pd.DataFrame(out, columns=["id", "score", "path"]).astype({"id": "int64", "score": "float64", "path": "object"})
+
+    ids = cut_lineage(asked.select("turn", "probe", F.xxhash64("turn").alias("id")))
+    left = ids.select("id", "probe", F.pmod("id", F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = disk.select("path", "norm", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    alike = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(compare, "id long, score double, path string")
+    wish = F.struct(F.lit(3).alias("step"), (-F.col("score")).alias("unlike"), F.lit(0).alias("size"), F.col("path").alias("p"), F.lit("fuzzy").alias("how")).alias("wish")
+    return alike.join(ids.select("id", "turn"), "id").select("turn", wish, "path")
+
+
+def _settled(wishes: DataFrame) -> DataFrame:
+    """``(turn, wish, path)``: each file goes to the first row by turn that has no file it would rather have.
+
+    Rows that choose one after the other get what they get if all propose at once, files keep the first by turn, and
+    those turned away go on to their next wish: files agree in whom they prefer, so both lead to the only stable outcome.
+    A round is an aggregation by row and one by file; it ends when nobody is turned away.
+    """
+    open_ = wishes
+    while True:
+        asked = open_.groupBy("turn").agg(F.min(F.struct("wish", "path")).alias("m")).select("turn", "m.wish", "m.path")
+        first = asked.groupBy("path").agg(F.min("turn").alias("winner"))
+        held = cut_lineage(asked.join(first, "path").withColumn("kept", F.col("turn") == F.col("winner")))
+        refused = held.where("not kept").select("turn", "path")
+        if refused.isEmpty():
+            return held.select("turn", "wish", "path")
+        # a file that is held by an earlier row is out of reach for good
+        taken = held.where("kept").select("path", F.col("turn").alias("holder"))
+        open_ = cut_lineage(open_.join(taken, "path", "left").where(F.col("holder").isNull() | (F.col("turn") <= F.col("holder"))).drop("holder"))
+
+
 def claim_files(rows: DataFrame, files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``(citekey, pdf_path, how)``: files matched to library rows, each file at most once.
 
     The cascade is exact name, declared name as prefix, title as prefix either way, then Jaro-Winkler; rows with a
-    declared file choose first, then by citekey. Claiming depends on the order of all rows, so it is one group; what
-    goes there is one row per row and file, names only. Exact matches, nearly all in practice, need no comparison.
+    declared file choose first, then by citekey. Candidates come from joins on names, and only rows that these leave
+    without a file are compared with all files; see ``_settled`` for the choice. Rows equal in citekey, title and declared
+    file are one row; rows without citekey take no part.
     """
-    names = rows.select("citekey", "title", "declared_file", F.lit(None).cast("string").alias("path"))
-    listed = files.select(F.lit(None).cast("string").alias("citekey"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("declared_file"), "path")
-    fuzzy, shortest = config.fuzzy_threshold, config.min_probe_chars
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        def missing(v) -> bool:
-            return v is None or v != v
-
-        paths = sorted(p for p in pdf["path"] if not missing(p))
-        base = {p: p.replace("\\", "/").rsplit("/", 1)[-1] for p in paths}
-        norm = {p: norm_text(b[: b.rindex(".")] if b.rfind(".") > 0 else b) for p, b in base.items()}
-        exact: dict[str, str] = {}
-        by_start: dict[str, list[str]] = defaultdict(list)
-        for p in paths:
-            exact.setdefault(norm[p], p)
-            by_start[norm[p][:shortest]].append(p)
-        claimed: set[str] = set()
-        asked = [(r.citekey, r.title, r.declared_file) for r in pdf.itertuples() if not missing(r.citekey)]
-        asked.sort(key=lambda r: (missing(r[2]), r[0]))
-        out = []
-        for key, title, declared in asked:
-            stem = None
-            if not missing(declared):
-                stem = norm_text(declared[: declared.rindex(".")] if declared.rfind(".") > 0 else declared)
-            head = None if missing(title) else norm_text(title)
-            got = how = None
-            if stem is not None and (p := exact.get(stem)) and p not in claimed:
-                got, how = p, "exact"
-            if got is None and stem is not None and len(stem) >= shortest:
-                fits = [p for p in by_start[stem[:shortest]] if p not in claimed and norm[p].startswith(stem)]
-                got, how = (min(fits, key=lambda p: (len(base[p]), p)), "prefix") if fits else (None, None)
-            if got is None and head is not None and len(head) >= shortest:
-                fits = [p for p in paths if p not in claimed and (norm[p].startswith(head) or head.startswith(norm[p]))]
-                got, how = (min(fits, key=lambda p: (len(base[p]), p)), "title") if fits else (None, None)
-            probe = stem if stem is not None else head
-            if got is None and probe is not None:
-                best, score = None, 0.0
-                for p in paths:
-                    if p not in claimed and (s := jaro_winkler(probe, norm[p][: len(probe)])) > score:
-                        best, score = p, s
-                if best is not None and score >= fuzzy:
-                    got, how = best, "fuzzy"
-            if got is not None:
-                claimed.add(got)
-            out.append((key, got, how))
-        return pd.DataFrame(out, columns=["citekey", "pdf_path", "how"]).astype(object)
-
-    return names.unionByName(listed).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(claim, "citekey string, pdf_path string, how string")
+    disk = cut_lineage(
+        files.where("path is not null").select("path").distinct().select("path", F.length(file_name("path")).alias("size"), F.coalesce(norm_key(strip_extension(file_name("path"))), F.lit("")).alias("norm"))
+    )
+    named = cut_lineage(_named(rows, config))
+    wishes = cut_lineage(_wishes(named, disk, config.min_probe_chars))
+    asked = named.limit(0)
+    while True:
+        held = _settled(wishes)
+        left = named.where("probe is not null").join(held.select("turn"), "turn", "left_anti").join(asked.select("turn"), "turn", "left_anti")
+        left = cut_lineage(left.select(*named.columns))
+        if left.isEmpty():
+            return named.join(held, "turn", "left").select("citekey", F.col("path").alias("pdf_path"), F.col("wish.how").alias("how"))
+        wishes = cut_lineage(wishes.unionByName(_fuzzy(left, disk, config.fuzzy_threshold)))
+        asked = asked.unionByName(left)
 
 
 def unclaimed(files: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -127,11 +198,11 @@ def unclaimed(files: DataFrame, resolved: DataFrame) -> DataFrame:
     return files.select("path").join(used, "path", "left_anti")
 
 
-def report(rows: DataFrame, pos: str) -> DataFrame:
+def report(rows: DataFrame, pos: str, readable: Column | None = None) -> DataFrame:
     """``(citekey, problems, warnings, duplicate_of, valid)`` of resolved library rows; a duplicate is a problem as well."""
     flagged = first_wins_duplicates(rows, pos)
     dup = F.when(F.col("duplicate_of").isNotNull(), F.array(F.concat(F.lit("duplicate of "), "duplicate_of"))).otherwise(F.array().cast("array<string>"))
-    all_problems = F.concat(problems(), dup)
+    all_problems = F.concat(problems(readable), dup)
     ok = F.size(all_problems) == 0
     return flagged.select(pos, "citekey", all_problems.alias("problems"), F.when(ok, warnings()).otherwise(F.array().cast("array<string>")).alias("warnings"), "duplicate_of", ok.alias("valid"))
 
@@ -144,6 +215,26 @@ def summary(reported: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(reported: DataFrame, pos: str, unclaimed_files: DataFrame) -> DataFrame:
+    """``(part, at, line)``: the report as text for people, in the order of ``part`` and ``at``.
+
+    Parts with rows begin with a heading that counts them: 0 the totals, 1 rejected rows, 2 rows with warnings,
+    3 duplicates, 4 files without a row.
+    """
+    rows = [
+        (1, "not valid", "  rejected", F.concat(F.lit("    - "), "citekey", F.lit(": "), F.array_join("problems", ", "))),
+        (2, "valid and size(warnings) > 0", "  accepted with warnings", F.concat(F.lit("    ~ "), "citekey", F.lit(": "), F.array_join("warnings", ", "))),
+        (3, "duplicate_of is not null", "  duplicates", F.concat(F.lit("    - "), "citekey", F.lit(" duplicates "), "duplicate_of")),
+    ]
+    listed = reported.withColumn("citekey", F.coalesce("citekey", F.lit("?")))
+    each = [listed.where(which).select(F.lit(part).alias("part"), F.lit(head).alias("head"), F.col(pos).cast("string").alias("key"), F.col(pos).cast("long").alias("at"), line.alias("line")) for part, which, head, line in rows]
+    each.append(unclaimed_files.select(F.lit(4).alias("part"), F.lit("  PDFs on disk with no bib entry").alias("head"), F.col("path").alias("key"), F.lit(0).cast("long").alias("at"), F.concat(F.lit("    - "), file_name("path")).alias("line")))
+    body = reduce(DataFrame.unionByName, each)
+    heads = body.groupBy("part", "head").count().select("part", F.lit("").alias("key"), F.lit(-1).cast("long").alias("at"), F.concat("head", F.lit(" ("), "count", F.lit("):")).alias("line"))
+    total = summary(reported).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.lit(-1).cast("long").alias("at"), F.concat(F.lit("BibTeX library: "), "valid", F.lit(" ingestable / "), "total", F.lit(" total")).alias("line"))
+    return total.unionByName(heads).unionByName(body.drop("head")).orderBy("part", "at", "key", "line").select("part", "at", "line")
+
+
 def exact_matches(rows: DataFrame, files: DataFrame) -> DataFrame:
     """``(citekey, path)``: files whose normalised stem is that of a declared file, the first by path."""
     by_stem = files.select("path", norm_key(strip_extension(file_name("path"))).alias("stem")).groupBy("stem").agg(F.min("path").alias("path"))
@@ -161,9 +252,3 @@ def prefix_matches(rows: DataFrame, files: DataFrame, config: Config = DEFAULT)
     w = rows.select("citekey", norm_key(strip_extension("declared_file")).alias("stem")).where(F.length("stem") >= n).withColumn("head", F.substring("stem", 1, n))
     fits = w.join(f, "head").where(F.col("disk").startswith(F.col("stem")))
     return fits.groupBy("citekey").agg(F.min(F.struct("len", "path")).alias("m")).select("citekey", F.col("m.path").alias("path"))
-
-
-def seen_before(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
-    """Adds ``first_seen``: ``value`` of the first row with the same ``key`` by ``pos``, null on that row itself."""
-    w = Window.partitionBy(key).orderBy(pos)
-    return rows.withColumn("first_seen", F.when(F.row_number().over(w) > 1, F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))

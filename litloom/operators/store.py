@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
 from ..schema import STATUSES
 
 
@@ -53,7 +54,8 @@ def with_ids(keys: DataFrame, key: str) -> DataFrame:
 
     spark = keys.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keys.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
+    # written once: counts and numbers must see the same ranges
+    ranged = cut_lineage(keys.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").count()
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per range
     within = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(key)))
@@ -150,3 +152,21 @@ def status_histogram(papers: DataFrame) -> DataFrame:
 
 def failures(papers: DataFrame) -> DataFrame:
     return papers.where("status = 'FAILED'").select("citekey", "title", F.col("failure_reason").alias("reason"))
+
+
+def calls(log: DataFrame, call_type: str | None = None, paper_id: int | None = None) -> DataFrame:
+    """Rows of the call log of one type or paper, or all."""
+    for column, wanted in (("call_type", call_type), ("paper_id", paper_id)):
+        if wanted is not None:
+            log = log.where(F.col(column) == wanted)
+    return log
+
+
+def calls_by_type(log: DataFrame) -> DataFrame:
+    """``(call_type, success, calls, papers)``."""
+    return log.groupBy("call_type", "success").agg(F.count("*").alias("calls"), F.count_distinct("paper_id").alias("papers"))
+
+
+def with_year(papers: DataFrame) -> DataFrame:
+    """Papers that a chart over years can show."""
+    return papers.where("year is not null")

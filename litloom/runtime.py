@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own setting, else (tests, a single machine) a temporary one."""
+    """The shared folder for cut lineage: what the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a single machine (master ``local``) gets a folder that is deleted at its end; on a cluster that
+    is an error, since executors couldn't see each other's folders.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="litloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="litloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 

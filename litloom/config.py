@@ -12,8 +12,7 @@ class Chunking:
     overlap_chars: int = 150
     # Headings (by how they start) whose sections are not chunked.
     skip_sections: tuple[str, ...] = (
-        "references", "bibliography", "acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments",
-        "appendix", "author contributions", "conflicts of interest", "funding",
+        "references", "bibliography", "acknowledgement", "acknowledgements", "appendix", "author contributions", "conflicts of interest", "funding",
     )
 
 
@@ -41,6 +40,7 @@ class Config:
     fuzzy_threshold: float = 0.88
     min_probe_chars: int = 12
     empty_document_chars: int = 500
+    retry_pause: float = 2.0
 
 
 DEFAULT = Config()

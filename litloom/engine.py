@@ -6,11 +6,10 @@ with the corpus, one method each. Outside services (document parser, embedder, l
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +57,22 @@ class Engine:
     def save(self, name: str, rows: DataFrame) -> None:
         store.write_snapshot(rows.select(*TABLES[name].names), f"{self.root}/{name}")
 
-    def _log(self, call_type: str, paper_ids: DataFrame) -> None:
-        """One row a call; ``paper_ids(paper_id, error)``."""
-        rows = paper_ids.select(
-            F.lit(None).cast("long").alias("id"), "paper_id", F.lit(call_type).alias("call_type"), F.lit(self.model).alias("model"), F.lit(None).cast("int").alias("tokens_in"),
-            F.lit(None).cast("int").alias("tokens_out"), F.lit(None).cast("decimal(10,6)").alias("cost_usd"), F.col("error").isNull().alias("success"), F.col("error").alias("error_message"), F.current_timestamp().alias("called_at"),
+    def _log(self, call_type: str, calls: DataFrame) -> None:
+        """One row a call; ``calls(paper_id, error, tokens_in, tokens_out)``."""
+        rows = calls.select(
+            F.lit(None).cast("long").alias("id"), "paper_id", F.lit(call_type).alias("call_type"), F.lit(self.model).alias("model"), F.col("tokens_in").cast("int").alias("tokens_in"),
+            F.col("tokens_out").cast("int").alias("tokens_out"), F.lit(None).cast("decimal(10,6)").alias("cost_usd"), F.col("error").isNull().alias("success"), F.col("error").alias("error_message"), F.current_timestamp().alias("called_at"),
         )
         store.append(rows, f"{self.root}/api_call_log_rows")
 
-    def call_log(self) -> DataFrame:
+    def _log_one(self, call_type: str, error: str | None, tokens: tuple[int | None, int | None] = (None, None)) -> None:
+        self._log(call_type, self.spark.createDataFrame([(None, error, *tokens)], "paper_id long, error string, tokens_in int, tokens_out int"))
+
+    def call_log(self, call_type: str | None = None, paper_id: int | None = None) -> DataFrame:
+        """Calls of outside services, of one type or paper or all."""
         path = f"{self.root}/api_call_log_rows"
-        return self.spark.read.parquet(path) if self._there(path) else self.spark.createDataFrame([], schema.API_CALL_LOG)
+        log = self.spark.read.parquet(path) if self._there(path) else self.spark.createDataFrame([], schema.API_CALL_LOG)
+        return store.calls(log, call_type, paper_id)
 
     # ---- ingest -----------------------------------------------------------------------------------------------------
 
@@ -78,11 +82,21 @@ class Engine:
         order = entries.groupBy("citekey").agg(F.min("pos").alias("pos"))
         metas = library.entries_to_meta(entries).join(order, "citekey")
         found = library.claim_files(metas, files.list_files(self.spark, pdf_root), self.config)
-        resolved = cut_lineage(metas.drop("pdf_path").join(found.select("citekey", "pdf_path"), "citekey", "left"))
-        return resolved, library.report(resolved, "pos")
+        resolved = cut_lineage(metas.drop("pdf_path").join(found.select("citekey", "pdf_path"), "citekey", "left").withColumn("readable", files.readable(F.col("pdf_path"))))
+        return resolved.drop("readable"), library.report(resolved, "pos", F.col("readable"))
+
+    def library_report(self, bib: str, pdf_root: str) -> DataFrame:
+        """``(part, at, line)``: what a bibliography and a folder hold and lack, as text."""
+        resolved, report = self.load_library(bib, pdf_root)
+        listed = files.list_files(self.spark, pdf_root)
+        return library.report_lines(report, "pos", library.unclaimed(listed, resolved))
 
     def ingest_run(self, bib: str, pdf_root: str, parse: Callable[[bytes], str], force: bool = False, only: str | None = None) -> dict:
-        """Brings the library in: metadata, parsed texts (cached by content), chunks with vectors. Returns counts and failed citekeys."""
+        """Brings the library in: metadata, parsed texts (cached by content), chunks with vectors.
+
+        Papers pass through the states GROBID_OK, CHUNKED and EMBEDDED; an error at any step makes FAILED. Connection
+        errors of the parser are tried again. Returns counts and, as a DataFrame, the failed citekeys by id.
+        """
         resolved, report = self.load_library(bib, pdf_root)
         valid = resolved.join(report.where("valid").select("citekey"), "citekey", "left_semi")
         if only is not None:
@@ -96,27 +110,51 @@ class Engine:
         paragraphs = tei.paragraph_rows(documents.where("error is null").withColumnRenamed("id", "paper_id"), "paper_id").withColumn("para_id", F.lit(0).cast("long"))
         sizes = documents.select("id", F.coalesce(F.size("sections") == 0, F.lit(True)).alias("none"), F.length(F.array_join(F.flatten(F.transform("sections", lambda s: F.transform(s["paragraphs"], lambda p: p["text"]))), "\n\n")).alias("n"))
         empty = sizes.where(F.col("none") | (F.col("n") < self.config.empty_document_chars)).select("id", F.lit("document looks empty").alias("why"))
-        outcome = documents.join(empty, "id", "left").select("id", F.lit("EMBEDDED").alias("status"), F.coalesce("error", "why").alias("error"))
+        outcome = cut_lineage(documents.join(empty, "id", "left").select("id", F.lit("GROBID_OK").alias("status"), F.coalesce("error", "why").alias("error")))
+        papers = self._advance(merged, outcome)
         good = outcome.where("error is null").select(F.col("id").alias("paper_id"))
         abstracts = documents.select(F.col("id").alias("paper_id"), "abstract")
-        chunks = chunking.chunk_documents(chunking.sections_of(paragraphs), abstracts, self.config.chunking).join(good, "paper_id", "left_semi")
+        chunks = cut_lineage(chunking.chunk_documents(chunking.sections_of(paragraphs), abstracts, self.config.chunking).join(good, "paper_id", "left_semi"))
+        through = good.select(F.col("paper_id").alias("id"), F.lit("CHUNKED").alias("status"), F.lit(None).cast("string").alias("error"))
+        papers = self._advance(papers, through)
         vectors = clients.embedded(embedding_text("section", "content"), self.embed, self.config.embedding_dim)
         full = chunks.withColumns({"embedding": vectors, "created_at": F.current_timestamp(), "id": F.xxhash64("paper_id", "ordinal")})
-        store.replace_chunks(full.select(*schema.CHUNK.names), f"{self.root}/chunk")
-        outcome = cut_lineage(outcome)
-        self.save("paper", store.set_status(merged, outcome))
-        counts = {r.bad: r["count"] for r in outcome.groupBy(F.col("error").isNotNull().alias("bad")).count().collect()}
-        failed = [r.citekey for r in outcome.where("error is not null").join(merged.select("id", "citekey"), "id").orderBy("id").select("citekey").limit(1000).collect()]
-        return {"ingested": counts.get(False, 0), "failed": counts.get(True, 0), "failed_citekeys": failed, "invalid": report.where("not valid").count()}
+        why = None
+        try:
+            store.replace_chunks(full.select(*schema.CHUNK.names), f"{self.root}/chunk")
+        except PySparkException as e:  # vectors are made for all papers together, so all fail with them
+            why = f"embedding failed: {str(e).strip().splitlines()[-1][:300]}"
+        papers = self._advance(papers, through.withColumns({"status": F.lit("EMBEDDED"), "error": F.lit(why)}))
+        failed = papers.join(outcome.select("id"), "id", "left_semi").where("status = 'FAILED'")
+        counts = outcome.join(papers.select("id", F.col("status").alias("now")), "id").groupBy("now").count().collect()  # two states
+        by = {r.now: r["count"] for r in counts}
+        return {"ingested": by.get("EMBEDDED", 0), "failed": by.get("FAILED", 0), "failed_citekeys": failed.orderBy("id").select("citekey"), "invalid": report.where("not valid").count()}
+
+    def _advance(self, papers: DataFrame, outcome: DataFrame) -> DataFrame:
+        """Papers after a step, saved."""
+        moved = cut_lineage(store.set_status(papers, outcome))
+        self.save("paper", moved)
+        return moved
+
+    @staticmethod
+    def describe(ran: dict) -> str:
+        """A run's outcome as text for people; names at most twenty of the failed papers and says if there are more."""
+        some = [r.citekey for r in ran["failed_citekeys"].limit(20).collect()]
+        named = f" ({', '.join(some)}{', and others' if ran['failed'] > len(some) else ''})" if some else ""
+        return f"Ingest: {ran['ingested']} ingested, {ran['failed']} failed{named}, {ran['invalid']} rejected"
 
     def _parsed(self, work: DataFrame, pdf_root: str, parse: Callable[[bytes], str]) -> DataFrame:
         """``(id, tei, error)``: from the cache where the bytes were parsed before, else by the parser."""
         path = f"{self.root}/tei_cache"
         cache = self.spark.read.parquet(path) if self._there(path) else self.spark.createDataFrame([], "sha string, tei string")
-        content = files.read_bytes(self.spark, pdf_root)
-        wanted = work.select("id", F.col("pdf_path").alias("path")).join(content, "path")
+        paths = work.select("id", F.col("pdf_path").alias("path"))
+        content = files.read_bytes(self.spark, pdf_root, only=paths)
+        # of a file only its hash travels: the bytes of what the cache lacks are read again where they are parsed
+        wanted = cut_lineage(paths.join(content.select("path", "sha"), "path"))
         hits, misses = files.cached(wanted, cache)
-        fresh = cut_lineage(clients.call_rows(misses.dropDuplicates(["sha"]), "sha", "content", parse, "tei"))
+        first = misses.groupBy("sha").agg(F.min("path").alias("path"))
+        unread = files.read_bytes(self.spark, pdf_root, only=first)
+        fresh = cut_lineage(clients.call_rows(unread.dropDuplicates(["sha"]) if "://" in pdf_root.removeprefix("file://") else unread, "sha", "content", clients.with_retries(parse, pause=self.config.retry_pause), "tei"))
         store.append(fresh.where("error is null").select("sha", "tei"), path)
         told = misses.select("id", "sha").join(fresh, "sha").select("id", "tei", "error")
         return hits.select("id", "tei", F.lit(None).cast("string").alias("error")).unionByName(told)
@@ -144,7 +182,12 @@ class Engine:
             raise ValueError("the gap is blank")
         hits = cut_lineage(self.search(gap, self.config.search.steelman_top_k))
         row = retrieval.evidence_block(hits).first()
-        answer = clients.steelman(row.evidence if row else "", gap, self._need_chat())
+        try:
+            answer = clients.steelman(row.evidence if row else "", gap, clients.under(clients.SYNTHESIS_POLICY, self._need_chat()))
+        except Exception as e:
+            self._log_one("steelman", str(e) or type(e).__name__)
+            raise
+        self._log_one("steelman", None, answer.pop("tokens"))
         return answer | {"gap": gap, "citekeys": sorted({r.citekey for r in hits.select("citekey").collect()})}  # at most top_k rows
 
     def _need_chat(self) -> Callable[[object], str]:
@@ -159,15 +202,16 @@ class Engine:
         papers = self.table("paper")
         work = papers.where(F.col("citekey") == citekey) if citekey is not None else papers.where("status = 'EMBEDDED'")
         texts = evidence.evidence(evidence.section_bodies(self.table("chunk")), self.config.synthesis.evidence_budget_chars).join(work.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-        answers = cut_lineage(clients.extract_concepts(texts, self._need_chat(), self.model))
-        good = answers.where("error is null").drop("error").withColumn("extracted_at", F.current_timestamp())
+        prompts = evidence.extraction_prompts(texts, papers)
+        answers = cut_lineage(clients.extract_concepts(prompts, clients.under(clients.EXTRACTION_POLICY, self._need_chat()), self.model))
+        good = answers.where("error is null").drop("error", "tokens_in", "tokens_out").withColumn("extracted_at", F.current_timestamp())
         merged = store.upsert_extractions(self.table("extraction"), good)
         fresh = merged.where("id is null").select("paper_id").distinct()
         top = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
         ids = store.with_ids(fresh, "paper_id").select("paper_id", (F.col("rn") + top).alias("new_id"))
         self.save("extraction", merged.join(ids, "paper_id", "left").withColumn("id", F.coalesce("id", "new_id")))
         self.save("paper", store.set_status(papers, answers.select(F.col("paper_id").alias("id"), F.lit("EXTRACTED").alias("status"), "error")))
-        self._log("extraction", answers.select("paper_id", "error"))
+        self._log("extraction", answers)
         return answers.where("error is null").count()
 
     def extraction(self, citekey: str) -> DataFrame:
@@ -184,7 +228,7 @@ class Engine:
         """Asks the model for conflicting findings of every construct group, keeps the sound and new ones, returns those."""
         groups = cut_lineage(synthesis.construct_groups(self.table("extraction"), self.config.synthesis.min_papers_per_construct))
         papers = self.table("paper").select("id", "citekey")
-        answers = cut_lineage(clients.call_rows(synthesis.findings_prompt(groups, self.table("paper")), "construct", "prompt", self._need_chat()))
+        answers = cut_lineage(clients.call_rows(synthesis.findings_prompt(groups, self.table("paper")), "construct", "prompt", clients.under(clients.SYNTHESIS_POLICY, self._need_chat())))
         pair = "array<struct<paper_a:string,claim_a:string,paper_b:string,claim_b:string,possible_moderator:string>>"
         told = answers.select("construct", F.posexplode(F.from_json("answer", pair)).alias("k", "p")).select("construct", "k", "p.*")
         a, b = (papers.withColumnsRenamed({"id": f"paper_{x}_id", "citekey": f"paper_{x}"}) for x in "ab")
@@ -195,11 +239,12 @@ class Engine:
         ids = store.with_ids(fresh.select("pair_key"), "pair_key").select("pair_key", (F.col("rn") + top).alias("id"))
         new = cut_lineage(fresh.join(ids, "pair_key").withColumns({"reviewed": F.lit(False), "verdict": F.lit(None).cast("string"), "created_at": F.current_timestamp()}).select(*schema.CONTRADICTION.names))
         self.save("contradiction", existing.unionByName(new))
-        self._log("contradiction", answers.select(F.lit(None).cast("long").alias("paper_id"), "error"))
+        self._log("contradiction", answers.select(F.lit(None).cast("long").alias("paper_id"), "error", F.lit(None).cast("int").alias("tokens_in"), F.lit(None).cast("int").alias("tokens_out")))
         return synthesis.contradiction_rows(new, self.table("paper"))
 
-    def contradictions(self, unreviewed: bool = False) -> DataFrame:
-        rows = self.table("contradiction")
+    def contradictions(self, unreviewed: bool = False, construct: str | None = None) -> DataFrame:
+        """Findings, all or those not reviewed, of one construct in any letter case or of all."""
+        rows = synthesis.on_construct(self.table("contradiction"), construct)
         return synthesis.contradiction_rows(rows.where("not reviewed") if unreviewed else rows, self.table("paper"))
 
     def review(self, finding_id: int, verdict: str) -> None:
@@ -225,20 +270,3 @@ class Engine:
 
     def asserted_but_untested(self) -> DataFrame:
         return coverage.asserted_but_untested(self.gap_grid())
-
-
-def directory_parser(folder: str) -> Callable[[bytes], str]:
-    """A parser without a network: ``<sha256 of the bytes>.tei.xml`` from a folder of parsed documents."""
-    import hashlib
-
-    def parse(content: bytes) -> str:
-        path = os.path.join(folder, hashlib.sha256(content).hexdigest() + ".tei.xml")
-        with open(path, encoding="utf-8") as f:
-            return f.read()
-
-    return parse
-
-
-def null_model(prompt: object) -> str:
-    """A language model that knows nothing: every field null, no finding, no objection."""
-    return json.dumps({}) if not str(prompt).startswith("Findings on") else "[]"

@@ -29,3 +29,10 @@ def section_bodies(chunks: DataFrame) -> DataFrame:
     """``(paper_id, slot, body)``: a paper's texts of one canonical slot in order of ordinal."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "content"))), lambda c: c["content"])
     return chunks.where("canonical_section is not null").groupBy("paper_id", F.col("canonical_section").alias("slot")).agg(F.array_join(listed, "\n\n").alias("body"))
+
+
+def extraction_prompts(texts: DataFrame, papers: DataFrame) -> DataFrame:
+    """``(paper_id, evidence)``: the texts behind what is known of their papers; what isn't known is said to be unknown."""
+    fields = [F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("unknown"))) for label, c in (("Paper", "citekey"), ("Title", "title"), ("Authors", "authors"), ("Year", "year"), ("Venue", "venue"))]
+    known = papers.select(F.col("id").alias("paper_id"), F.concat_ws("\n", *fields).alias("about"))
+    return texts.join(known, "paper_id").select("paper_id", F.concat("about", F.lit("\n\nFill in the row from this text:\n\n"), "evidence").alias("evidence"))

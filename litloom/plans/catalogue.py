@@ -249,7 +249,7 @@ def escaped_constructs(spark, folder):
     return coverage.distinct_constructs(table(spark, folder, "extraction")).select("construct", text.escape_like("construct").alias("escaped"))
 
 
-_SKIPPED = " OR ".join(f"starts_with(lower(trim(heading)), '{s}')" for s in ("references", "bibliography", "acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments", "appendix", "author contributions", "conflicts of interest", "funding"))
+_SKIPPED = " OR ".join(f"starts_with(lower(trim(heading)), '{s}')" for s in ("references", "bibliography", "acknowledgement", "acknowledgements", "appendix", "author contributions", "conflicts of interest", "funding"))
 
 
 @query(f"SELECT para_id, coalesce({_SKIPPED}, FALSE) AS skipped FROM tei_paragraph")

@@ -16,7 +16,7 @@ from ..sources.tei import paragraph_rows, parsed
 def tei_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder as they arrive, ``<paper id>.tei.xml``."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tei.xml").load(folder)
-    return files.select(F.regexp_extract("path", r"(\d+)\.tei\.xml$", 1).cast("long").alias("paper_id"), F.decode("content", "UTF-8").alias("xml"))
+    return files.select(F.regexp_extract("path", r"(\d+)\.tei\.xml$", 1).cast("long").alias("paper_id"), F.decode("content", "UTF-8").alias("xml"), F.struct("modificationTime", "path").alias("version"))
 
 
 def chunk_rows(files: DataFrame, embed=None) -> DataFrame:
@@ -32,7 +32,7 @@ def ingest_available(spark: SparkSession, folder: str, target: str, checkpoint:
     """Chunks all files that arrived since the last run and ends; rerunning a batch replaces the same partitions."""
 
     def write(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("paper_id").agg(F.max("xml").alias("xml"))
+        latest = batch.groupBy("paper_id").agg(F.max_by("xml", "version").alias("xml"))  # the file changed last, of equals the last by path
         replace_chunks(chunk_rows(latest), target)
 
     return tei_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,6 @@
 """The whole pipeline over one folder of tables: ingest, search, extraction, synthesis.
 
-``Engine`` keeps each relation as a snapshot under its root (chunks are partitioned by paper) and offers what a user does
+``Engine`` keeps each relation as a snapshot under its root (chunks lie in buckets by paper) and offers what a user does
 with the corpus, one method each. Outside services (document parser, embedder, language model) are plain callables.
 """
 
@@ -215,8 +215,7 @@ class Engine:
         return answers.where("error is null").count()
 
     def extraction(self, citekey: str) -> DataFrame:
-        p = self.table("paper").where(F.col("citekey") == citekey).select(F.col("id").alias("paper_id"), "citekey")
-        return self.table("extraction").join(p, "paper_id")
+        return synthesis.with_citekeys(self.table("extraction"), self.table("paper").where(F.col("citekey") == citekey))
 
     def extractions(self, construct: str | None = None) -> DataFrame:
         rows = self.table("extraction")

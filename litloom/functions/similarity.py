@@ -6,43 +6,31 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision; null for vectors of different widths."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def square_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """``1 - cos``; null where a vector is null or all zero or the widths differ, so that such rows sort last."""
-    norm = F.sqrt(square_sum(a)) * F.sqrt(square_sum(b))
-    return F.when(norm > 0, F.lit(1.0) - dot(a, b) / norm)
-
-
 def distance_to(a: Column, query: list[float]) -> Column:
-    """``cosine_distance`` to one given vector, by Arrow batches: array functions run element by element outside
+    """``1 - cos`` to one given vector; null where a vector is null or all zero or the widths differ, so that such rows
+    sort last. By Arrow batches whose list column is taken as one matrix: array functions run element by element outside
     generated code, which takes some twenty times as long at usual widths."""
     q = np.asarray(query, dtype=np.float64)
     size = float(np.sqrt((q * q).sum()))
 
-    @F.pandas_udf(T.DoubleType())
-    def distance(vectors: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def distance(vectors: pa.Array) -> pa.Array:
         out = np.full(len(vectors), np.nan)
-        at = [i for i, v in enumerate(vectors) if v is not None and len(v) == len(q)]
-        if at and size:
-            x = np.stack([vectors.iloc[i] for i in at]).astype(np.float64)
+        at = np.flatnonzero(np.asarray(vectors.value_lengths().fill_null(-1)) == len(q))
+        if len(at) and size:
+            flat = vectors.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(float("nan"))
+            x = np.asarray(flat).reshape(len(at), len(q))
             norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * size
             out[at] = 1.0 - np.divide(np.einsum("ij,j->i", x, q), norms, out=np.full(len(at), np.nan), where=norms > 0)
-        return pd.Series(out)
+        return pa.array(out, mask=np.isnan(out))
 
-    return F.nanvl(distance(a), F.lit(None).cast("double"))
+    return distance(a)
 
 
 def float_cosine(a: Column, b: Column) -> Column:

@@ -93,8 +93,12 @@ def chunk_documents(sections: DataFrame, abstracts: DataFrame | None = None, con
             F.lit(None).cast("int").alias("page"), F.trim("abstract").alias("content"),
         )
         each = first.unionByName(each)
-    w = Window.partitionBy("paper_id").orderBy("section_pos", "piece")
-    return each.withColumn("ordinal", F.row_number().over(w) - 1).select("paper_id", "ordinal", "section", "canonical_section", "page", "content")
+    return with_ordinals(each, [F.col("section_pos"), F.col("piece")]).select("paper_id", "ordinal", "section", "canonical_section", "page", "content")
+
+
+def with_ordinals(chunks: DataFrame, order: list[Column]) -> DataFrame:
+    """Chunks with ``ordinal``, from 0 within each paper."""
+    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)) - 1)
 
 
 def looks_empty(documents: DataFrame, limit: int = DEFAULT.empty_document_chars) -> DataFrame:

@@ -1,7 +1,7 @@
 """Changes of the persistent relations over parquet, as new snapshots.
 
-Plain parquet has no merge, so an upsert is a full outer join into a new snapshot; chunks are partitioned by paper, so
-that replacing a paper's chunks overwrites its partition only. A snapshot is written beside the old one and swapped in;
+Plain parquet has no merge, so an upsert is a full outer join into a new snapshot; chunks lie in buckets by paper, so
+that replacing papers' chunks overwrites their buckets only. A snapshot is written beside the old one and swapped in;
 a path that is read is never overwritten.
 """
 
@@ -105,20 +105,41 @@ def review(contradictions: DataFrame, finding_id: int, verdict: str) -> DataFram
     return contradictions.withColumns({"reviewed": F.when(here, True).otherwise(F.col("reviewed")), "verdict": F.when(here, F.lit(verdict)).otherwise(F.col("verdict"))})
 
 
-def replace_chunks(chunks: DataFrame, path: str, emptied: list[int] | None = None) -> None:
-    """Writes the chunks of the papers in ``chunks`` in place of their old ones; papers in ``emptied`` lose theirs."""
-    size = F.when(F.col("embedding").isNotNull() & (F.size("embedding") == 0), F.raise_error(F.lit("empty vector")).cast("array<float>")).otherwise(F.col("embedding"))
-    writer = chunks.withColumn("embedding", size).write.partitionBy("paper_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-    for paper in emptied or []:
-        drop_partition(chunks.sparkSession, path, "paper_id", paper)
+#: Folders a chunk table is spread over by paper.
+BUCKETS = 256
 
 
-def drop_partition(spark: SparkSession, path: str, column: str, value: object) -> bool:
-    """Deletes one partition folder of a table; False if there was none."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _bucket(paper: Column | str = "paper_id") -> Column:
+    return F.pmod(F.xxhash64(paper), F.lit(BUCKETS)).cast("int")
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace_chunks(chunks: DataFrame, path: str, emptied: list[int] | None = None) -> None:
+    """Writes the chunks of the papers in ``chunks`` in place of their old ones; papers in ``emptied`` lose theirs.
+
+    The table lies in at most ``BUCKETS`` folders by hash of the paper; those of the papers concerned are written anew,
+    the others stay untouched. An empty vector is an error.
+    """
+    spark = chunks.sparkSession
+    size = F.when(F.col("embedding").isNotNull() & (F.size("embedding") == 0), F.raise_error(F.lit("empty vector")).cast("array<float>")).otherwise(F.col("embedding"))
+    fresh = cut_lineage(chunks.withColumns({"embedding": size, "bucket": _bucket()}))
+    gone = spark.createDataFrame([(x,) for x in emptied or []], "paper_id long").withColumn("bucket", _bucket())
+    papers = cut_lineage(fresh.select(F.col("paper_id").cast("long").alias("paper_id"), "bucket").distinct().unionByName(gone))
+    touched = {r.bucket for r in papers.select("bucket").distinct().collect()}  # at most BUCKETS
+    where, system = _path(spark, path)
+    rows = fresh
+    if touched and system.exists(where):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(sorted(touched)))
+        rows = fresh.unionByName(cut_lineage(old.join(papers.select("paper_id").distinct(), "paper_id", "left_anti").select(*fresh.columns)))
+    left = {r.bucket for r in rows.select("bucket").distinct().collect()}
+    rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for bucket in touched - left:  # buckets that hold nothing any more
+        system.delete(_path(spark, f"{path}/bucket={bucket}")[0], True)
 
 
 def append(rows: DataFrame, path: str) -> bool:
@@ -131,11 +152,21 @@ def append(rows: DataFrame, path: str) -> bool:
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Writes a table's new snapshot under ``root`` and makes it the current one; returns its path."""
+    """Writes a table's new snapshot under ``root`` and makes it the current one; returns its path.
+
+    What is current stands in one small file that is renamed into its place, so a reader finds the old or the new one.
+    """
     spark = df.sparkSession
     path = f"{root}/snapshot-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    jvm = spark.sparkContext._jvm
+    (now, system), (place, _) = _path(spark, f"{root}/.next-{uuid.uuid4().hex}"), _path(spark, f"{root}/current")
+    out = system.create(now)
+    out.write(bytearray(path.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri()).rename(system.makeQualified(now), system.makeQualified(place), options)
     return path
 
 
@@ -170,3 +201,9 @@ def calls_by_type(log: DataFrame) -> DataFrame:
 def with_year(papers: DataFrame) -> DataFrame:
     """Papers that a chart over years can show."""
     return papers.where("year is not null")
+
+
+def outcome_summary(outcomes: DataFrame) -> DataFrame:
+    """``(failed, papers, citekeys)`` of ``(id, citekey, failed)``: counts, and the citekeys of the failed ones by id."""
+    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("failed"), F.struct("id", "citekey")))), lambda x: x["citekey"])
+    return outcomes.groupBy("failed").agg(F.count("*").alias("papers"), keys.alias("citekeys"))

@@ -172,6 +172,11 @@ def cluster_citekeys(clusters: DataFrame, papers: DataFrame) -> DataFrame:
     return clusters.join(keys, "cluster", "left").withColumn("citekeys", F.coalesce("citekeys", F.array().cast("array<string>"))).orderBy(F.desc("paper_count"), "cluster")
 
 
+def with_citekeys(extractions: DataFrame, papers: DataFrame) -> DataFrame:
+    """Extractions with the citekeys of their papers."""
+    return extractions.join(papers.select(F.col("id").alias("paper_id"), "citekey"), "paper_id")
+
+
 def on_construct(contradictions: DataFrame, construct: str | None) -> DataFrame:
     """Findings on one construct, letter case aside; all for None."""
     return contradictions if construct is None else contradictions.where(F.lower("construct") == construct.lower())

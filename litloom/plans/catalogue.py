@@ -51,7 +51,7 @@ _VECTOR_ARM = """
  vector_arm AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 12) ASC NULLS LAST, id) AS rank FROM scored QUALIFY rank <= 60)"""
 _TEXT_ARM = """
  toks AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM chunk WHERE TRUE {where}),
- tf AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x = 'memory')) AS a, len(list_filter(t, lambda x: x = 'route')) AS b FROM toks),
+ tf AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x IN ('memory', 'memories', 'memorial'))) AS a, len(list_filter(t, lambda x: x IN ('route', 'routes', 'routed', 'routing', 'routings', 'rout', 'routs'))) AS b FROM toks),
  st AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
  bm AS (SELECT id, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / m)) AS score
         FROM tf, st WHERE a > 0 AND b > 0),
@@ -88,11 +88,7 @@ def hybrid_filtered(spark, folder):
 @query(f"WITH {_VECTOR_ARM.format(where='')} SELECT id, rank, round(distance, 6) AS distance FROM vector_arm")
 def vector_topk(spark, folder):
     chunks = table(spark, folder, "chunk")
-    q = _query_vector(chunks)
-    arm = retrieval.vector_arm(chunks, q, 60)
-    vectors = chunks.select("id", "embedding").join(F.broadcast(arm), "id")  # 60 rows
-    d = similarity.distance_to(F.col("embedding"), q)
-    return vectors.select("id", F.col("rank").cast("long").alias("rank"), F.round(d, 6).alias("distance"))
+    return retrieval.vector_arm(chunks, _query_vector(chunks), 60).select("id", *_long("rank"), F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_TEXT_ARM.format(where='')} SELECT id, rank FROM text_arm")
@@ -105,6 +101,19 @@ def text_scores(spark, folder):
     return retrieval.bm25(table(spark, folder, "chunk"), QUERY_TEXT).select("id", F.round("score", 6).alias("score"))
 
 
+# the words of a stem stand in the SQL as a pattern; "or" splits, "-" excludes, "the" is a stop word and "of" any word
+WEBSEARCH = 'the routing -tariff OR "frictions of the handover" or "handover frictions" depots'
+
+
+@query(
+    r"SELECT id FROM (SELECT id, lower(content) AS low FROM chunk) WHERE (regexp_matches(low, '(^|[^a-z0-9])(route|routes|routed|routing|routings|rout|routs)([^a-z0-9]|$)') AND NOT regexp_matches(low, '(^|[^a-z0-9])tariff(s|ed)?([^a-z0-9]|$)')) "
+    r"OR regexp_matches(low, '(^|[^a-z0-9])friction(s|al)?[^a-z0-9]+[a-z0-9]+[^a-z0-9]+[a-z0-9]+[^a-z0-9]+handovers?([^a-z0-9]|$)') "
+    r"OR (regexp_matches(low, '(^|[^a-z0-9])handovers?[^a-z0-9]+frictions?([^a-z0-9]|$)') AND regexp_matches(low, '(^|[^a-z0-9])depots?([^a-z0-9]|$)'))"
+)
+def text_websearch(spark, folder):
+    return retrieval.bm25(table(spark, folder, "chunk"), WEBSEARCH).select("id")
+
+
 @query(
     f"WITH {_VECTOR_ARM.format(where='')}, {_TEXT_ARM.format(where='')}, {_FUSED} SELECT c.id, p.citekey, p.title, c.section, c.page, md5(c.content) AS content_md5, round(h.score, 6) AS score, "
     "'[' || p.citekey || CASE WHEN c.page IS NULL THEN ']' ELSE ' p.' || c.page || ']' END AS marker FROM hits h JOIN chunk c ON c.id = h.id JOIN paper p ON p.id = c.paper_id"
@@ -114,7 +123,10 @@ def hydrate_hits(spark, folder):
     return full.select("id", "citekey", "title", "section", "page", F.md5("content").alias("content_md5"), F.round("score", 6).alias("score"), "marker")
 
 
-@query()
+@query(
+    f"WITH {_VECTOR_ARM.format(where='')}, {_TEXT_ARM.format(where='')}, {_FUSED} SELECT string_agg('[' || p.citekey || CASE WHEN c.page IS NULL THEN ']' ELSE ' p.' || c.page || ']' END || ' ' || c.content, chr(10) || chr(10) "
+    r"ORDER BY round(h.score, 12) DESC, c.id) AS evidence FROM hits h JOIN chunk c ON c.id = h.id JOIN paper p ON p.id = c.paper_id WHERE regexp_matches(c.content, '\S')"
+)
 def search_evidence_block(spark, folder):
     return retrieval.evidence_block(retrieval.hydrate(_hits(spark, folder), table(spark, folder, "chunk"), table(spark, folder, "paper")))
 
@@ -201,13 +213,12 @@ _FILE = r"regexp_replace(regexp_replace(CASE WHEN contains(v, ':') AND contains(
 
 @query(
     r"SELECT meta_id, nullif(trim(regexp_replace(trim(doi), '^(?:https?://)?(?:dx\.)?doi\.org/', '', 'i')), '') AS doi, "
-    r"array_to_string(list_filter(list_transform(regexp_split_to_array(authors, '(?i)\s+and\s+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), '; ') AS authors_all, "
+    r"nullif(array_to_string((SELECT list(n ORDER BY k) FROM (SELECT n, min(k) AS k FROM (SELECT unnest(ns) AS n, generate_subscripts(ns, 1) AS k FROM (SELECT list_transform(regexp_split_to_array(authors, '(?i)\s+and\s+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))) AS ns)) WHERE n <> '' GROUP BY n)), '; '), '') AS authors_all, "
     rf"list_filter(list_transform(string_split(declared_file, ';'), lambda x: trim({_FILE.replace('v', 'trim(x)') if False else _FILE.replace('(v,', '(trim(x),').replace('(v)', '(trim(x))').replace('ELSE v END', 'ELSE trim(x) END')})), lambda n: lower(n) LIKE '%.pdf')[1] AS file FROM paper_meta"
 )
 def normalised_library(spark, folder):
-    names = F.transform(F.split("authors", r"(?i)\s+and\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     return table(spark, folder, "paper_meta").select(
-        "meta_id", text.normalise_doi("doi").alias("doi"), F.array_join(F.filter(names, lambda s: s != ""), "; ").alias("authors_all"), text.declared_filename("declared_file").alias("file")
+        "meta_id", text.normalise_doi("doi").alias("doi"), text.normalise_authors("authors").alias("authors_all"), text.declared_filename("declared_file").alias("file")
     )
 
 
@@ -328,7 +339,22 @@ def unclaimed_files(spark, folder):
     return library.unclaimed(files, library.exact_matches(_declared(spark, folder), files).withColumnRenamed("path", "pdf_path"))
 
 
-@query()
+_NORM = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]', '', 'g')"
+_CLAIMS = rf"""WITH RECURSIVE {_FILES},
+ declared AS (SELECT citekey, arg_min(meta_id, meta_id) AS mid FROM paper_meta GROUP BY citekey),
+ named AS (SELECT d.citekey, row_number() OVER (ORDER BY stem IS NULL, d.citekey) AS k, {_NORM.format("pm.title")} AS head, stem
+   FROM declared d JOIN paper_meta pm ON pm.meta_id = d.mid LEFT JOIN stems ON stems.citekey = d.citekey),
+ wishes AS (SELECT k, min(path) AS path, 'exact' AS how, 0 AS step, 0.0 AS unlike, 0 AS size FROM named JOIN disk ON stem = disk GROUP BY k
+   UNION ALL SELECT k, path, 'prefix', 1, 0.0, len FROM named JOIN disk ON starts_with(disk, stem) WHERE length(stem) >= 12
+   UNION ALL SELECT k, path, 'title', 2, 0.0, len FROM named JOIN disk ON starts_with(disk, head) OR starts_with(head, disk) WHERE length(head) >= 12
+   UNION ALL SELECT k, path, 'fuzzy', 3, -s, 0 FROM (SELECT k, path, jaro_winkler_similarity(coalesce(stem, head), substring(disk, 1, length(coalesce(stem, head)))) AS s FROM named, disk WHERE coalesce(stem, head) IS NOT NULL) WHERE s >= 0.88),
+ prefs AS (SELECT n.k, n.citekey, coalesce(list(struct_pack(p := path, h := how) ORDER BY step, unlike, size, path) FILTER (path IS NOT NULL), []) AS l FROM named n LEFT JOIN wishes w ON w.k = n.k GROUP BY ALL),
+ fold AS (SELECT 0 AS k, NULL::VARCHAR AS citekey, NULL::STRUCT(p VARCHAR, h VARCHAR) AS got, []::VARCHAR[] AS claimed
+   UNION ALL SELECT k, citekey, got, CASE WHEN got IS NULL THEN claimed ELSE list_append(claimed, got.p) END
+     FROM (SELECT n.k, n.citekey, f.claimed, list_filter(n.l, lambda x: NOT list_contains(f.claimed, x.p))[1] AS got FROM fold f JOIN prefs n ON n.k = f.k + 1))"""
+
+
+@query(f"{_CLAIMS} SELECT citekey, got.p AS pdf_path, got.h AS how FROM fold WHERE k > 0")
 def claimed_files(spark, folder):
     return library.claim_files(_declared(spark, folder), _files(spark, folder))
 
@@ -342,11 +368,38 @@ def p5_found(spark, folder):
 # ---- chunks and evidence --------------------------------------------------------------------------------------------
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SLOT_OF = f"SELECT heading, CASE WHEN heading IS NULL OR trim(heading) = '' THEN 'OTHER' {_CASES} ELSE 'OTHER' END AS slot FROM (SELECT heading, trim(CASE WHEN {_MARKED} = lower(heading) THEN regexp_replace(lower(heading), '^\\s*\\d+(?:\\.\\d+)*\\s+', '') ELSE {_MARKED} END) AS h FROM secs)"
+# paragraphs over the limit are filled with sentences one by one, sections with paragraphs one by one
+_CHUNKS = rf"""WITH RECURSIVE para AS (SELECT paper_id, section_pos, para_pos, para_id, text, page FROM tei_paragraph WHERE regexp_matches(text, '\S')),
+ secs AS (SELECT paper_id, section_pos, min(heading) AS heading, min(number) AS number FROM tei_paragraph GROUP BY ALL HAVING NOT coalesce(bool_or({_SKIPPED}) FILTER (heading IS NOT NULL), FALSE)),
+ slots AS ({_SLOT_OF}),
+ cut AS (SELECT para_id, string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS s, 1 AS k, '' AS held, []::VARCHAR[] AS done FROM para WHERE length(text) > 1800
+   UNION ALL SELECT para_id, s, CASE WHEN length(held) > 1800 THEN k ELSE k + 1 END,
+     CASE WHEN length(held) > 1800 THEN substring(held, 1651) WHEN held = '' THEN s[k] WHEN length(held) + length(s[k]) + 1 > 1800 THEN right(held, 150) || ' ' || s[k] ELSE held || ' ' || s[k] END,
+     CASE WHEN length(held) > 1800 THEN list_append(done, {_STRIP.format("substring(held, 1, 1800)")}) WHEN held <> '' AND length(held) + length(s[k]) + 1 > 1800 THEN list_append(done, {_STRIP.format("held")}) ELSE done END
+   FROM cut WHERE k <= len(s) OR length(held) > 1800),
+ whole AS (SELECT para_id, CASE WHEN held <> '' THEN list_append(done, {_STRIP.format("held")}) ELSE done END AS parts FROM cut WHERE k > len(s) AND length(held) <= 1800),
+ listed AS (SELECT p.*, w.parts, row_number() OVER (PARTITION BY paper_id, section_pos ORDER BY para_pos, p.para_id) AS i FROM para p LEFT JOIN whole w ON w.para_id = p.para_id),
+ pack AS (SELECT paper_id, section_pos, 1::BIGINT AS i, []::VARCHAR[] AS held, 0::BIGINT AS size, NULL::INT AS page, []::STRUCT(t VARCHAR, p INT)[] AS done FROM secs
+   UNION ALL SELECT paper_id, section_pos, i + 1, CASE WHEN parts IS NOT NULL THEN [] ELSE list_append(kept, text) END, CASE WHEN parts IS NOT NULL THEN 0 WHEN len(kept) = 0 THEN length(text) ELSE size + length(text) + 2 END,
+     CASE WHEN len(kept) = 0 THEN pg ELSE page END, CASE WHEN parts IS NOT NULL THEN list_concat(flushed, list_transform(parts, lambda x: struct_pack(t := x, p := pg))) ELSE flushed END
+   FROM (SELECT *, CASE WHEN full_ THEN [] ELSE held END AS kept, CASE WHEN full_ AND len(held) > 0 THEN list_append(done, struct_pack(t := {_STRIP.format("array_to_string(held, chr(10) || chr(10))")}, p := page)) ELSE done END AS flushed
+     FROM (SELECT k.*, l.text, l.page AS pg, l.parts, l.parts IS NOT NULL OR (len(k.held) > 0 AND (k.size + length(l.text) + 2 > 1800 OR k.size >= 1200)) AS full_ FROM pack k JOIN listed l USING (paper_id, section_pos, i)))),
+ ended AS (SELECT paper_id, section_pos, CASE WHEN len(held) > 0 THEN list_append(done, struct_pack(t := {_STRIP.format("array_to_string(held, chr(10) || chr(10))")}, p := page)) ELSE done END AS done FROM pack QUALIFY row_number() OVER (PARTITION BY paper_id, section_pos ORDER BY i DESC) = 1),
+ body AS (SELECT e.paper_id, e.section_pos, generate_subscripts(done, 1) AS piece, unnest(done) AS c FROM ended e),
+ first AS (SELECT p.id AS paper_id, m.abstract FROM paper_meta m JOIN paper p ON p.citekey = m.citekey QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY m.meta_id) = 1),
+ rows AS (SELECT paper_id, -1 AS section_pos, 0 AS piece, 'Abstract' AS section, 'ABSTRACT' AS canonical_section, NULL::INT AS page, trim(abstract) AS content FROM first WHERE regexp_matches(abstract, '\S')
+   UNION ALL SELECT b.paper_id, b.section_pos, b.piece, NUMBERED, (SELECT min(slot) FROM slots WHERE slots.heading IS NOT DISTINCT FROM s.heading), b.c.p, b.c.t FROM body b JOIN secs s USING (paper_id, section_pos))"""
+_NUMBERED = "CASE WHEN trim(coalesce(s.number, '')) = '' THEN s.heading ELSE concat_ws(' ', s.number, s.heading) END"
+
+
+@query(f"{_CHUNKS.replace('NUMBERED', _NUMBERED)} SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY section_pos, piece) - 1 AS ordinal, section, canonical_section, page, content FROM rows")
 def chunk_documents(spark, folder):
     abstracts = table(spark, folder, "paper_meta").join(table(spark, folder, "paper").select("citekey", F.col("id").alias("paper_id")), "citekey")
     first = abstracts.groupBy("paper_id").agg(F.min_by("abstract", "meta_id").alias("abstract"))
-    return chunking.chunk_documents(chunking.sections_of(table(spark, folder, "tei_paragraph")), first)
+    chunks = chunking.chunk_documents(chunking.sections_of(table(spark, folder, "tei_paragraph")), first)
+    return chunks.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("SELECT paper_id, count(DISTINCT section_pos) AS sections, coalesce(sum(length(text)), 0)::BIGINT AS chars, count(DISTINCT section_pos) = 0 OR coalesce(sum(length(text)), 0) < 500 AS empty FROM tei_paragraph GROUP BY paper_id")
@@ -380,10 +433,10 @@ def evidence_texts(spark, folder):
     return evidence.evidence(evidence.section_bodies(table(spark, folder, "chunk"))).select("paper_id", F.md5("evidence").alias("evidence_md5"))
 
 
-@query("SELECT paper_id, id, row_number() OVER (PARTITION BY paper_id ORDER BY ordinal, id) - 1 AS running FROM chunk")
+@query("SELECT paper_id, id, row_number() OVER (PARTITION BY paper_id ORDER BY id) - 1 AS running FROM chunk")
 def chunk_ordinals(spark, folder):
-    w = Window.partitionBy("paper_id").orderBy("ordinal", "id")
-    return table(spark, folder, "chunk").select("paper_id", "id", (F.row_number().over(w) - 1).cast("long").alias("running"))
+    numbered = chunking.with_ordinals(table(spark, folder, "chunk").drop("ordinal"), [F.col("id")])
+    return numbered.select("paper_id", "id", F.col("ordinal").cast("long").alias("running"))
 
 
 @query(
@@ -400,6 +453,13 @@ def neighbour_cosines(spark, folder):
 # ---- synthesis ------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT event_type AS call_type, user_id AS paper_id, count(*) AS calls FROM events WHERE event_type = 'click' AND user_id = (SELECT min(user_id) FROM events WHERE event_type = 'click') GROUP BY ALL")
+def calls_of_paper(spark, folder):
+    log = table(spark, folder, "events").select(F.col("event_type").alias("call_type"), F.col("user_id").alias("paper_id"))
+    first = log.where("call_type = 'click'").agg(F.min("paper_id")).first()[0]
+    return store.calls(log, "click", first).groupBy("call_type", "paper_id").agg(F.count("*").alias("calls"))
+
+
 @query("SELECT id, paper_id FROM extraction WHERE list_has_any(constructs, ['kerb access equity', 'driver autonomy'])")
 def construct_overlap(spark, folder):
     return synthesis.naming(table(spark, folder, "extraction"), LABELS).select("id", "paper_id")
@@ -474,6 +534,13 @@ def unreviewed(spark, folder):
     return rows.select("id", "construct", "citekey_a", "citekey_b", "reviewed")
 
 
+@query(
+    f"WITH {_GUARDED} SELECT pos AS id FROM guarded WHERE lower(construct) = lower('KERB ACCESS EQUITY')"
+)
+def findings_on_construct(spark, folder):
+    return synthesis.on_construct(_contradictions(spark, folder), "KERB Access Equity").select("id")
+
+
 @query(f"WITH {_GROUPS} SELECT construct, md5('Findings on ' || construct || ':' || chr(10) || string_agg('[' || citekey || '] ' || key_finding, chr(10) ORDER BY '[' || citekey || '] ' || key_finding)) AS prompt_md5 FROM grp JOIN paper ON paper.id = grp.paper_id GROUP BY construct")
 def findings_prompts(spark, folder):
     prompts = synthesis.findings_prompt(synthesis.construct_groups(table(spark, folder, "extraction")), table(spark, folder, "paper"))
@@ -481,13 +548,30 @@ def findings_prompts(spark, folder):
 
 
 def _statements(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "extraction")
-    return e.select(F.col("id").alias("pos"), "paper_id", F.col("future_work_suggested").alias("statement"), embedded(F.col("future_work_suggested")).alias("vector"))
+    """Statements with the stored vector of their papers' first chunk that has one."""
+    c = table(spark, folder, "chunk").where("embedding is not null").groupBy("paper_id").agg(F.min_by("embedding", "id").alias("vector"))
+    return table(spark, folder, "extraction").join(c, "paper_id").select(F.col("id").alias("pos"), "paper_id", F.col("future_work_suggested").alias("statement"), "vector")
+
+
+_ALIKE = 0.3
+_FLOAT_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] * z[2])::DOUBLE))"
+_CLUSTERS = rf"""WITH RECURSIVE told AS (SELECT e.paper_id, e.future_work_suggested AS statement, c.v, row_number() OVER (ORDER BY e.id) AS k, sqrt({_FLOAT_DOT.format("c.v", "c.v")}) AS size
+   FROM extraction e JOIN (SELECT paper_id, arg_min(embedding, id) AS v FROM chunk WHERE embedding IS NOT NULL GROUP BY paper_id) c ON c.paper_id = e.paper_id WHERE regexp_matches(e.future_work_suggested, '\S')),
+ fold AS (SELECT 0::BIGINT AS k, 0::BIGINT AS seed, []::STRUCT(k BIGINT, v FLOAT[], n DOUBLE)[] AS seeds
+   UNION ALL SELECT t.k, CASE WHEN best.s >= {_ALIKE} THEN best.k ELSE t.k END, CASE WHEN best.s >= {_ALIKE} THEN f.seeds ELSE list_append(f.seeds, struct_pack(k := t.k, v := t.v, n := t.size)) END
+     FROM (SELECT f.*, list_max(list_transform(f.seeds, lambda x: struct_pack(s := CASE WHEN x.n * u.size > 0 THEN {_FLOAT_DOT.format("x.v", "u.v")} / (x.n * u.size) ELSE 0 END, k := x.k))) AS best FROM fold f JOIN told u ON u.k = f.k + 1) f JOIN told t ON t.k = f.k + 1),
+ members AS (SELECT f.seed, t.* FROM fold f JOIN told t ON t.k = f.k),
+ papers AS (SELECT seed, paper_id, min(k) AS k FROM members GROUP BY ALL),
+ groups AS (SELECT m.seed, count(*) AS n, arg_min(statement, (length(statement), k)) AS theme FROM members m GROUP BY seed)"""
 
 
-@query()
+@query(
+    f"{_CLUSTERS} SELECT theme, (SELECT count(*) FROM papers p WHERE p.seed = g.seed)::INT AS paper_count, (SELECT string_agg(paper_id::VARCHAR, '|' ORDER BY k) FROM papers p WHERE p.seed = g.seed) AS paper_ids, "
+    "(SELECT string_agg(citekey, '|' ORDER BY citekey) FROM papers p JOIN paper ON paper.id = p.paper_id WHERE p.seed = g.seed) AS citekeys FROM groups g WHERE n >= 2 AND (SELECT count(*) FROM papers p WHERE p.seed = g.seed) >= 2"
+)
 def future_work_clusters(spark, folder):
-    return synthesis.cluster_citekeys(synthesis.future_work_clusters(_statements(spark, folder)), table(spark, folder, "paper"))
+    found = synthesis.cluster_citekeys(synthesis.future_work_clusters(_statements(spark, folder), _ALIKE), table(spark, folder, "paper"))
+    return found.select("theme", "paper_count", F.array_join(F.col("paper_ids").cast("array<string>"), "|").alias("paper_ids"), F.array_join("citekeys", "|").alias("citekeys"))
 
 
 @query(
@@ -521,10 +605,8 @@ def pending_papers(spark, folder):
 
 @query("SELECT status = 'FAILED' AS failed, count(*) AS papers, string_agg(CASE WHEN status = 'FAILED' THEN citekey END, '|' ORDER BY id) AS failed_citekeys FROM paper GROUP BY 1")
 def ingest_summary(spark, folder):
-    failed = F.col("status") == "FAILED"
-    keys = F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct("id", "citekey")))), lambda x: x["citekey"])
-    out = table(spark, folder, "paper").groupBy(failed.alias("failed")).agg(F.count("*").alias("papers"), keys.alias("k"))
-    return out.select("failed", "papers", F.when(F.size("k") > 0, F.array_join("k", "|")).alias("failed_citekeys"))
+    out = store.outcome_summary(table(spark, folder, "paper").select("id", "citekey", (F.col("status") == "FAILED").alias("failed")))
+    return out.select("failed", "papers", F.when(F.size("citekeys") > 0, F.array_join("citekeys", "|")).alias("failed_citekeys"))
 
 
 @query(
@@ -565,7 +647,7 @@ def sha_cache_miss(spark, folder):
 )
 def audit_by_type(spark, folder):
     log = table(spark, folder, "events").select(F.col("event_type").alias("call_type"), F.col("user_id").alias("paper_id"), (F.col("event_type") != "error").alias("success"))
-    return log.groupBy("call_type", "success").agg(F.count("*").alias("calls"), F.count_distinct("paper_id").alias("papers"))
+    return store.calls_by_type(log)
 
 
 @query("SELECT 'chunk' AS child, id FROM chunk WHERE paper_id NOT IN (SELECT id FROM paper) UNION ALL SELECT 'extraction', id FROM extraction WHERE paper_id NOT IN (SELECT id FROM paper) UNION ALL SELECT 'document', doc_id FROM documents WHERE paper_id IS NOT NULL AND paper_id NOT IN (SELECT id FROM paper)")
@@ -583,10 +665,9 @@ def schema_violations(spark, folder):
 
 @query("SELECT id, citekey, year FROM paper WHERE year IS NOT NULL")
 def papers_with_year(spark, folder):
-    return table(spark, folder, "paper").where("year is not null").select("id", "citekey", "year")
+    return store.with_year(table(spark, folder, "paper")).select("id", "citekey", "year")
 
 
 @query("SELECT e.id, p.citekey, e.model_used FROM extraction e JOIN paper p ON p.id = e.paper_id")
 def extraction_rows(spark, folder):
-    p = table(spark, folder, "paper").select(F.col("id").alias("paper_id"), "citekey")
-    return table(spark, folder, "extraction").join(p, "paper_id").select("id", "citekey", "model_used")
+    return synthesis.with_citekeys(table(spark, folder, "extraction"), table(spark, folder, "paper")).select("id", "citekey", "model_used")

@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 # What may stand before a doi.
 DOI_PREFIX = re.compile(r"^(?:(?:https?:/{0,2})?(?:www\.)?(?:dx\.)?doi\.org/*|(?:info:)?doi[\s:/.]*(?=10[\s./]|$))+")
-RUN = re.compile(r"[^\W\d_]+|\d+")
 
 
 def _plain(text: str) -> str:
@@ -74,10 +75,10 @@ def copies_of(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """``(first_id, copy_id)``: every row that is not the smallest id of its record.
 
     Groups are found by aggregation; only those of several rows are joined back, so a record that a third of all rows
-    share is one row on the joined side and adaptive execution splits the other.
+    share is one row on the joined side and adaptive execution splits the other. Rows are canonicalised once: their ids
+    and hashes are written down for the second reading.
     """
-    keyed = with_key(df.select(id_col, *[c for c in fields if c != id_col]).where(F.col(id_col).isNotNull()), fields).select(
-        F.col(id_col).alias("copy_id"), "__h", "__x"
-    )
+    keyed = with_key(df.select(id_col, *[c for c in fields if c != id_col]).where(F.col(id_col).isNotNull()), fields)
+    keyed = cut_lineage(keyed.select(F.col(id_col).alias("copy_id"), "__h", "__x"))
     groups = keyed.groupBy("__h", "__x").agg(F.min("copy_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(groups, ["__h", "__x"]).where("copy_id <> first_id").select("first_id", "copy_id")

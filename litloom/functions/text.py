@@ -176,8 +176,3 @@ def pair_key(construct: C, a: C, b: C) -> Column:
 def initials(given: C) -> Column:
     parts = F.filter(F.split(F.trim(_c(given)), r"\s+"), lambda s: s != "")
     return F.array_join(F.transform(parts, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lit("."))), " ")
-
-
-def search_terms(x: C) -> Column:
-    """Lower-case alphanumeric tokens."""
-    return F.filter(F.split(F.lower(_c(x)), "[^a-z0-9]+"), lambda t: t != "")

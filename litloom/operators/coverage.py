@@ -1,7 +1,8 @@
 """Construct coverage: which papers mention a construct in which section, and where none does.
 
 A construct is mentioned where its text stands in a chunk's content, letter case aside, inside words as well. All
-constructs are looked for in one pass over the contents by an automaton; only the constructs travel, in blocks.
+constructs of a block are looked for in one pass over the contents by an automaton; only the constructs travel, as one
+broadcast a block, and the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import GRID_SECTIONS, SECTIONS
+from ..schema import GRID_SECTIONS
 
 #: Constructs that one pass over the chunks carries.
 BLOCK = 100_000
@@ -23,8 +25,9 @@ def distinct_constructs(extractions: DataFrame) -> DataFrame:
     return extractions.select(F.explode("constructs").alias("construct")).where("construct is not null").distinct().orderBy("construct")
 
 
-def _matcher(block: list[str]):
+def _matcher(sent: Broadcast):
     def run(batches):
+        block = sent.value
         low = sorted({c.lower() for c in block if c})
         by_low: dict[str, list[str]] = {}
         for c in block:
@@ -56,10 +59,16 @@ def _matcher(block: list[str]):
 
 def mentions(chunks: DataFrame, constructs: DataFrame) -> DataFrame:
     """``(paper_id, canonical_section, construct)``, distinct; chunks without a section don't count."""
-    listed = [r.construct for r in constructs.select("construct").where("construct is not null").distinct().toLocalIterator()]
     base = chunks.where(F.col("canonical_section").isNotNull()).select("paper_id", "canonical_section", "content")
-    blocks = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)] or [[]]
-    found = [base.mapInArrow(_matcher(b), "paper_id long, canonical_section string, construct string") for b in blocks]
+    sc, sent, block = base.sparkSession.sparkContext, [], []
+    for r in constructs.select("construct").where("construct is not null").distinct().toLocalIterator():
+        block.append(r.construct)
+        if len(block) == BLOCK:
+            sent.append(sc.broadcast(block))
+            block = []
+    if block or not sent:
+        sent.append(sc.broadcast(block))
+    found = [base.mapInArrow(_matcher(b), "paper_id long, canonical_section string, construct string") for b in sent]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -87,7 +96,3 @@ def uncovered(grid: DataFrame) -> DataFrame:
 def asserted_but_untested(grid: DataFrame) -> DataFrame:
     """Constructs with an empty cell in RESULTS or in DISCUSSION, in order."""
     return grid.where(F.col("section").isin("RESULTS", "DISCUSSION") & (F.col("coverage_count") == 0)).select("construct").distinct().orderBy("construct")
-
-
-def section_position(section: str) -> int:
-    return SECTIONS.index(section)

@@ -6,6 +6,7 @@ it is built from the given ones in the same way on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from .. import schema
 from ..functions import similarity, text
 from ..operators import chunking, coverage, evidence, library, retrieval, store, synthesis
 from ..operators.packed_fields import unpack_fields
-from ..runtime import table
+from ..runtime import checkpoint_dir, table
 from ..sources.clients import embedded
 from .packed_sql import PACKED_FIELDS
 
@@ -647,7 +648,10 @@ def sha_cache_miss(spark, folder):
 )
 def audit_by_type(spark, folder):
     log = table(spark, folder, "events").select(F.col("event_type").alias("call_type"), F.col("user_id").alias("paper_id"), (F.col("event_type") != "error").alias("success"))
-    return store.calls_by_type(log)
+    path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    if not (store.append(log.where("success"), path) and store.append(log.where("not success"), path)):
+        raise OSError(f"the log can't be written: {path}")
+    return store.calls_by_type(spark.read.parquet(path))
 
 
 @query("SELECT 'chunk' AS child, id FROM chunk WHERE paper_id NOT IN (SELECT id FROM paper) UNION ALL SELECT 'extraction', id FROM extraction WHERE paper_id NOT IN (SELECT id FROM paper) UNION ALL SELECT 'document', doc_id FROM documents WHERE paper_id IS NOT NULL AND paper_id NOT IN (SELECT id FROM paper)")
@@ -671,3 +675,6 @@ def papers_with_year(spark, folder):
 @query("SELECT e.id, p.citekey, e.model_used FROM extraction e JOIN paper p ON p.id = e.paper_id")
 def extraction_rows(spark, folder):
     return synthesis.with_citekeys(table(spark, folder, "extraction"), table(spark, folder, "paper")).select("id", "citekey", "model_used")
+
+
+from . import catalogue_changes  # noqa: E402, F401 - registers its queries with those above

@@ -93,3 +93,16 @@ def test_clusters_do_not_depend_on_blocks(spark, monkeypatch, block):
     got = [(r.cluster, r.theme, list(r.paper_ids), r.paper_count) for r in synthesis.future_work_clusters(df, 0.6, 2).orderBy("cluster").collect()]
     assert got == want and len(want) > 3
     assert synthesis.future_work_clusters(df.limit(0)).count() == 0 and synthesis.future_work_clusters(df.where("pos = 0"), 0.6, 1).count() == 1
+
+
+def test_constructs_in_blocks(spark, monkeypatch):
+    from litloom.operators import coverage
+
+    chunks = spark.createDataFrame([(1, "RESULTS", "Kerb access and slots"), (2, "METHOD", "kerb"), (3, None, "kerb"), (4, "RESULTS", None)], "paper_id long, canonical_section string, content string")
+    names = spark.createDataFrame([("kerb",), ("Kerb Access",), ("slot",), ("none",), (None,)], "construct string")
+    rows = []
+    for block in (100, 2, 1):
+        monkeypatch.setattr(coverage, "BLOCK", block)
+        rows.append(sorted(tuple(r) for r in coverage.mentions(chunks, names).collect()))
+    assert rows[0] == rows[1] == rows[2] == [(1, "RESULTS", "Kerb Access"), (1, "RESULTS", "kerb"), (1, "RESULTS", "slot"), (2, "METHOD", "kerb")]
+    assert coverage.mentions(chunks, names.limit(0)).count() == 0

@@ -182,7 +182,8 @@ def status_moves(spark, folder):
 @query(f"WITH {c._GUARDED}, f AS (SELECT min(pos) AS pos FROM guarded) SELECT g.pos AS id, e.context_sector IS NOT NULL OR g.pos = f.pos AS reviewed, CASE WHEN g.pos = f.pos THEN 'sound' END AS verdict FROM guarded g, f LEFT JOIN extraction e ON e.paper_id = g.paper_a_id")
 def reviewed_findings(spark, folder):
     found = c._contradictions(spark, folder)
-    return store.review(found, found.agg(F.min("id")).first()[0], "sound").select("id", "reviewed", "verdict")
+    first = found.agg(F.min("id")).first()[0]
+    return (found if first is None else store.review(found, first, "sound")).select("id", "reviewed", "verdict")
 
 
 @query(

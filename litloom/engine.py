@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .config import DEFAULT, Config
 from .functions.text import embedding_text, non_blank
-from .operators import chunking, coverage, evidence, library, retrieval, store, synthesis
+from .operators import chunking, coverage, evidence, library, retrieval, search_index, store, synthesis
 from .runtime import cut_lineage
 from .sources import bibtex, clients, files, tei
 
@@ -176,6 +176,16 @@ class Engine:
         hits = retrieval.hybrid_search(self.table("chunk"), query, vector, top_k, sections, paper_ids, self.config.search)
         return retrieval.hydrate(hits, self.table("chunk"), self.table("paper"))
 
+    def build_indexes(self) -> None:
+        """Stores the search indexes of the chunks as they are now, for ``search_indexed``."""
+        search_index.write_text_index(self.table("chunk"), f"{self.root}/index/text")
+        search_index.write_vector_index(self.table("chunk"), f"{self.root}/index/vector")
+
+    def search_indexed(self, query: str, top_k: int | None = None, probes: int = 16) -> DataFrame:
+        """``search`` over all chunks by the stored indexes, which are read in part; chunks that came later aren't found."""
+        hits = search_index.indexed_search(self.spark, f"{self.root}/index", self.table("chunk"), query, self.embed([query or ""])[0], top_k, self.config.search, probes)
+        return retrieval.hydrate(hits, self.table("chunk"), self.table("paper"))
+
     def steelman(self, gap: str) -> dict:
         """The strongest counter-argument to a claimed gap, with the citekeys of the passages it rests on."""
         if not gap or not gap.strip():

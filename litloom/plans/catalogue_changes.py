@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text
-from ..operators import evidence, library, retrieval, store
+from ..operators import evidence, library, retrieval, search_index, store
 from ..runtime import checkpoint_dir, table
 from ..sources import bibtex, clients, tei
 from . import catalogue as c
@@ -152,6 +152,31 @@ def blank_search(spark, folder):
     return retrieval.hybrid_search(table(spark, folder, "chunk"), " \t", [1.0]).select("id")
 
 
+def _text_index(spark: SparkSession, folder: str) -> str:
+    path = _scratch(spark, "text-index")
+    search_index.write_text_index(table(spark, folder, "chunk"), path)
+    return path
+
+
+@query(f"WITH {c._TEXT_ARM.format(where='')} SELECT id, round(score, 6) AS score FROM bm")
+def indexed_text_scores(spark, folder):
+    return search_index.indexed_bm25(spark, _text_index(spark, folder), table(spark, folder, "chunk"), c.QUERY_TEXT).select("id", F.round("score", 6).alias("score"))
+
+
+@query(c.SQL["text_websearch"])
+def indexed_websearch(spark, folder):
+    return search_index.indexed_bm25(spark, _text_index(spark, folder), table(spark, folder, "chunk"), c.WEBSEARCH).select("id")
+
+
+@query(f"WITH {c._VECTOR_ARM.format(where='')} SELECT id, rank, round(distance, 6) AS distance FROM vector_arm")
+def indexed_vector_topk(spark, folder):
+    chunks, path = table(spark, folder, "chunk"), _scratch(spark, "vector-index")
+    search_index.write_vector_index(chunks, path)
+    every = spark.read.parquet(f"{path}/cells").count()  # all cells probed: the exact result
+    arm = search_index.indexed_vector_arm(spark, path, c._query_vector(chunks), 60, every)
+    return arm.select("id", *c._long("rank"), F.round("distance", 6).alias("distance"))
+
+
 # ---- changes --------------------------------------------------------------------------------------------------------
 
 

@@ -67,6 +67,8 @@ def test_pipeline(engine):
 
     hits = e.search("kerb access", top_k=3).collect()
     assert len(hits) == 3 and all(h.content and h.citekey for h in hits) and [h.score for h in hits] == sorted((h.score for h in hits), reverse=True)
+    e.build_indexes()
+    assert [tuple(h) for h in e.search_indexed("kerb access", top_k=3).collect()] == [tuple(h) for h in hits] and e.search_indexed("").count() == 0
     assert e.search(" ").count() == 0 and {h.canonical_section for h in e.search("kerb", sections=["RESULTS"]).collect()} == {"RESULTS"}
 
     assert e.extract_pending() == 2 and e.extract_pending() == 0 and e.extract_pending("doe") == 1

@@ -2,11 +2,10 @@
 
 Values are normalised and made distinct first, so each spelling is scored once however often it was typed. The list's
 names are cut into character n-grams; a table counts in how many names of a kind each n-gram stands and gives it its
-inverse-document-frequency weight. Names and values carry their weighted n-grams. An inverted index over the n-grams of
-a block of names retrieves a value's candidates and scores them by weighted cosine; every one that can still be accepted
-is tested for how far it is covered by the value. A candidate is accepted if it reaches ``threshold`` and leads the next
-entry by ``margin``. Acronyms of a name are compared whole; a word cut with a full stop is completed to the only word of
-the list that it begins.
+inverse-document-frequency weight. An inverted index over the weighted n-grams of a block of names retrieves a value's
+candidates and scores them by weighted cosine; every one that can still be accepted is tested for how far it is covered by
+the value. A candidate is accepted if it reaches ``threshold`` and leads the next entry by ``margin``. Acronyms of
+a name are compared whole; a word cut with a full stop is completed to the only word of the list that it begins.
 
 All that is counted over the list (weights, common words, acronyms, completions) is counted over all of it, and lists
 longer than ``BLOCK`` names are scored block by block with each block's best two entries kept, so the result doesn't
@@ -32,6 +31,8 @@ from ..runtime import cut_lineage
 BLOCK, VALUES = 20_000, 2_000
 #: A word in this many names of a kind distinguishes little; a name is also known without such a last word.
 COMMON = 3
+#: Key under which the weight of n-grams that no name has travels with the others.
+RAREST = ""
 
 # Remarks around a value that carry no meaning, and placeholders for "no value".
 REMARK = (
@@ -72,35 +73,28 @@ def _initials(name: Column) -> Column:
     return F.array_join(F.transform(F.split(name, " "), lambda w: F.substring(w, 1, 1)), "")
 
 
-def _weighted(words: DataFrame, key: list[str], grams: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``(key..., kind, grams, norm)`` of ``words(key..., kind, words)``: n-grams with weight by number of occurrences
-    times inverse document frequency; n-grams that no name has weigh as the rarest."""
-    counted = words.select(*key, "kind", F.explode(_gram_list("words")).alias("gram")).groupBy(*key, "kind", "gram").count()
-    idf = F.coalesce("idf", F.log1p("n_names"))
-    weighed = counted.join(grams, ["kind", "gram"], "left").join(F.broadcast(sizes), "kind").select(*key, "kind", F.struct("gram", (F.col("count") * idf).alias("w"), idf.alias("idf")).alias("g"))
-    return weighed.groupBy(*key, "kind").agg(F.sort_array(F.collect_list("g")).alias("grams"))
-
-
 class Index:
-    """Inverted n-gram index over a block of names with their weighted n-grams and telling words."""
+    """Inverted n-gram index over a block of names ``(term, words, common)``, under the weights of the whole list."""
 
-    def __init__(self, names: list[dict]):
-        self.names = names
-        self.postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, names: list[dict], idf: dict[str, float], rare: float):
+        self.names, self.idf, self.rare = names, idf, rare
         gathered: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        self.idf = []
         for i, n in enumerate(names):
-            norm = float(np.sqrt(sum(g["w"] ** 2 for g in n["grams"]))) or 1.0
-            self.idf.append({g["gram"]: g["idf"] for g in n["grams"]})
-            for g in n["grams"]:
-                at, w = gathered[g["gram"]]
+            for g, w in self.vector(n["words"]).items():
+                at, weights = gathered[g]
                 at.append(i)
-                w.append(g["w"] / norm)
+                weights.append(w)
         self.postings = {g: (np.array(at), np.array(w)) for g, (at, w) in gathered.items()}
 
+    def vector(self, words: list[str]) -> dict[str, float]:
+        """N-grams by occurrences times inverse document frequency, of length one; what no name has weighs as the rarest."""
+        v = {g: k * self.idf.get(g, self.rare) for g, k in Counter(_grams(words)).items()}
+        norm = float(np.sqrt(sum(x * x for x in v.values()))) or 1.0
+        return {g: x / norm for g, x in v.items()}
+
     def _covered(self, i: int, grams: set[str]) -> tuple[float, float]:
         """(least, mean) weighted share of n-grams present, over the name's telling words; its last word may be left out."""
-        name, idf = self.names[i], self.idf[i]
+        name, idf = self.names[i], self.idf
         words, common = name["words"], set(name["common"])
         shares = [sum(idf[g] for g in gs if g in grams) / sum(idf[g] for g in gs) for w in words for gs in [_grams([w])]]
         telling = [s for w, s in zip(words, shares) if w not in common and len(w) > 2] or shares
@@ -108,15 +102,15 @@ class Index:
             telling = shares[:-1]
         return min(telling), sum(telling) / len(telling)
 
-    def best(self, variants: list[dict[str, float]], least_score: float) -> list[tuple[float, int]]:
+    def best(self, words: list[str], least_score: float) -> list[tuple[float, int]]:
         """The best two entries as ``(score, -term)``, of the names that reach ``least_score`` and are covered."""
         by_term: dict[int, float] = {}
-        for weights in variants:
-            norm = float(np.sqrt(sum(w * w for w in weights.values()))) or 1.0
+        for variant in [words] + [words[:-1]] * (len(words) > 1 and words[-1] in REMARK_TAIL):
+            weights = self.vector(variant)
             score = np.zeros(len(self.names))
             for g, w in weights.items():
                 if (found := self.postings.get(g)) is not None:
-                    score[found[0]] += found[1] * (w / norm)
+                    score[found[0]] += found[1] * w
             grams = set(weights)
             for i in np.flatnonzero(score >= least_score - 1e-9):
                 least, mean = self._covered(int(i), grams)
@@ -127,21 +121,17 @@ class Index:
 
 
 def _scored(least_score: float):
-    """Scores the values of a group against its block of names."""
+    """Scores the values of a group against its block of names; rows without a term carry the weights."""
     schema = pa.schema([("kind", pa.string()), ("norm", pa.string()), ("top", pa.list_(pa.struct([("s", pa.float64()), ("t", pa.int64())])))])
 
-    def run(key, names: pa.Table, values: pa.Table) -> pa.Table:
-        index = Index(names.select(["term", "words", "common", "grams"]).to_pylist()) if names.num_rows else None
+    def run(key, block: pa.Table, values: pa.Table) -> pa.Table:
+        rows = block.select(["term", "words", "common", "gram", "idf"]).to_pylist()
+        idf = {r["gram"]: r["idf"] for r in rows if r["term"] is None}
+        names = [r for r in rows if r["term"] is not None]
+        index = Index(names, idf, idf.pop(RAREST, 0.0)) if names and values.num_rows else None
         out = []
-        for v in values.to_pylist() if index else ():
-            weights = {g["gram"]: g["w"] for g in v["grams"]}
-            variants = [weights]
-            if len(v["words"]) > 1 and v["words"][-1] in REMARK_TAIL:
-                last, idf = Counter(_grams(v["words"][-1:])), {g["gram"]: g["idf"] for g in v["grams"]}
-                shorter = {g: w - last[g] * idf[g] for g, w in weights.items()}
-                variants.append({g: w for g, w in shorter.items() if w > 1e-9})
-            top = index.best(variants, least_score)
-            if top:
+        for v in values.select(["kind", "norm", "words"]).to_pylist() if index else ():
+            if top := index.best(v["words"], least_score):
                 out.append({"kind": v["kind"], "norm": v["norm"], "top": [{"s": s, "t": -t} for s, t in top]})
         return pa.Table.from_pylist(out, schema=schema)
 
@@ -175,14 +165,15 @@ def map_values(
     forms = listed.select("kind", "norm").distinct().withColumn("words", F.split("norm", " "))
     sizes = listed.groupBy("kind").agg(F.count("*").alias("n_names"))  # one row a kind
     grams = forms.select("kind", F.explode(F.array_distinct(_gram_list("words"))).alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    grams = cut_lineage(grams.join(F.broadcast(sizes), "kind").select("kind", "gram", F.log1p(F.col("n_names") / F.col("n")).alias("idf")))
+    grams = grams.join(F.broadcast(sizes), "kind").select("kind", "gram", F.log1p(F.col("n_names") / F.col("n")).alias("idf"))
+    grams = cut_lineage(grams.unionByName(sizes.select("kind", F.lit(RAREST).alias("gram"), F.log1p("n_names").alias("idf"))))
     each = listed.select("kind", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
     words = each.groupBy("kind", "word").count()
     common = each.join(words.where(F.col("count") >= COMMON), ["kind", "word"]).groupBy("kind", "norm").agg(F.collect_set("word").alias("common"))
     acronyms = listed.where(F.col("norm").contains(" ")).groupBy("kind", _initials(F.col("norm")).alias("short")).agg(F.min("term").alias("term"), F.max("term").alias("other"))
     acronyms = acronyms.where("term = other").drop("other")
-    full = listed.join(_weighted(forms, ["norm"], grams, sizes), ["kind", "norm"]).join(common, ["kind", "norm"], "left")
-    full = full.select("kind", "term", "norm", F.split("norm", " ").alias("words"), F.coalesce("common", F.array().cast("array<string>")).alias("common"), "grams")
+    nothing = F.array().cast("array<string>")
+    full = listed.join(common, ["kind", "norm"], "left").select("kind", "term", "norm", F.split("norm", " ").alias("words"), F.coalesce("common", nothing).alias("common"))
 
     distinct = values.select(F.col(kind_col).alias("kind"), F.col(value_col).alias("value")).where(F.col("value").rlike(r"\S")).distinct().repartition(parts)
     distinct = cut_lineage(distinct.withColumn("norm", _normalised("value")))
@@ -190,14 +181,18 @@ def map_values(
     asked = distinct.where(~bare.isin(*PLACEHOLDERS)).select("kind", "norm").distinct().withColumn("short", F.translate("norm", ". ", ""))
     told = asked.join(acronyms, ["kind", "short"], "left")
     by_acronym = told.where("term is not null").select("kind", "norm", F.col("term").alias("t"), F.lit(1.0).alias("s"), F.lit(1.0).alias("l"))
-    open_ = _weighted(_completed(told.where("term is null").select("kind", "norm"), words), ["norm", "words"], grams, sizes)
+    open_ = cut_lineage(_completed(told.where("term is null").select("kind", "norm"), words))
 
     # groups of one kind: blocks of names times groups of values, so both sides of a group are bounded
     n_blocks = F.ceil(F.col("n_names") / BLOCK).cast("int")
     n_values = open_.groupBy("kind").agg(F.count("*").alias("n_values"))
     plan = F.broadcast(sizes.join(n_values, "kind").select("kind", n_blocks.alias("blocks"), F.greatest(F.ceil(F.col("n_values") / VALUES), F.lit(1)).cast("int").alias("groups")))
-    to_block = full.join(plan, "kind").select("kind", F.pmod(F.xxhash64("norm", "term"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "term", "words", "common", "grams")
-    to_group = open_.join(plan, "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("norm"), "groups").cast("int").alias("grp"), "norm", "words", "grams")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of_names = full.join(plan, "kind").select("kind", F.pmod(F.xxhash64("norm", "term"), "blocks").cast("int").alias("block"), every("groups").alias("grp"), "term", "words", "common", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("idf"))
+    # the weights go to every group: n-grams of letters are few beside the values' own, and so the values travel without theirs
+    of_grams = grams.join(plan, "kind").select("kind", "groups", every("blocks").alias("block"), "gram", "idf").select("kind", "block", every("groups").alias("grp"), F.lit(None).cast("long").alias("term"), nothing.alias("words"), nothing.alias("common"), "gram", "idf")
+    to_block = of_names.unionByName(of_grams)
+    to_group = open_.join(plan, "kind").select("kind", every("blocks").alias("block"), F.pmod(F.xxhash64("norm"), "groups").cast("int").alias("grp"), "norm", "words")
     by = ["kind", "block", "grp"]
     top = to_block.groupBy(*by).cogroup(to_group.groupBy(*by)).applyInArrow(_scored(threshold - margin), "kind string, norm string, top array<struct<s:double,t:long>>")
     merged = top.select("kind", "norm", F.explode("top").alias("x")).groupBy("kind", "norm", F.col("x.t").alias("t")).agg(F.max("x.s").alias("s"))

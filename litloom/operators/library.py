@@ -149,13 +149,25 @@ def _fuzzy(asked: DataFrame, disk: DataFrame, threshold: float) -> DataFrame:
     return alike.join(ids.select("id", "turn"), "id").select("turn", wish, "path")
 
 
+#: Wishes that the driver settles by itself.
+AT_ONCE = 100_000
+
+
 def _settled(wishes: DataFrame) -> DataFrame:
     """``(turn, wish, path)``: each file goes to the first row by turn that has no file it would rather have.
 
     Rows that choose one after the other get what they get if all propose at once, files keep the first by turn, and
     those turned away go on to their next wish: files agree in whom they prefer, so both lead to the only stable outcome.
-    A round is an aggregation by row and one by file; it ends when nobody is turned away.
+    A round is an aggregation by row and one by file; it ends when nobody is turned away. Up to ``AT_ONCE`` wishes need no
+    rounds: the driver takes them in order.
     """
+    if wishes.limit(AT_ONCE + 1).count() <= AT_ONCE:
+        got, claimed = {}, set()
+        for r in wishes.orderBy("turn", "wish").collect():
+            if r.turn not in got and r.path not in claimed:
+                got[r.turn] = r
+                claimed.add(r.path)
+        return wishes.sparkSession.createDataFrame(list(got.values()), wishes.schema)
     open_ = wishes
     while True:
         asked = open_.groupBy("turn").agg(F.min(F.struct("wish", "path")).alias("m")).select("turn", "m.wish", "m.path")

@@ -138,7 +138,10 @@ def _assigned(told: DataFrame, threshold: float) -> DataFrame:
         known = _best_seeds(seeds, rows, threshold) if low > 1 else {}
         found = seeds_of([v for _, v in rows], threshold, [known.get(rn) for rn, _ in rows])
         pairs = [(rn, rows[k][0] if k >= 0 else -1 - k) for (rn, _), k in zip(rows, found)]
-        links = cut_lineage(links.unionByName(spark.createDataFrame(pairs, links.schema)))
+        links = links.unionByName(spark.createDataFrame(pairs, links.schema))
+        if len(rows) < BLOCK:  # the last block
+            return links
+        links = cut_lineage(links)
         fresh = spark.createDataFrame([(rn, s) for rn, s in pairs if rn == s], links.schema).select("rn")
         seeds = cut_lineage(seeds.unionByName(told.join(fresh, "rn", "left_semi").select("rn", "vector")))
         low += BLOCK

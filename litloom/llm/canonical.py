@@ -166,7 +166,7 @@ def map_values(
     sizes = listed.groupBy("kind").agg(F.count("*").alias("n_names"))  # one row a kind
     grams = forms.select("kind", F.explode(F.array_distinct(_gram_list("words"))).alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("n"))
     grams = grams.join(F.broadcast(sizes), "kind").select("kind", "gram", F.log1p(F.col("n_names") / F.col("n")).alias("idf"))
-    grams = cut_lineage(grams.unionByName(sizes.select("kind", F.lit(RAREST).alias("gram"), F.log1p("n_names").alias("idf"))))
+    grams = grams.unionByName(sizes.select("kind", F.lit(RAREST).alias("gram"), F.log1p("n_names").alias("idf")))
     each = listed.select("kind", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
     words = each.groupBy("kind", "word").count()
     common = each.join(words.where(F.col("count") >= COMMON), ["kind", "word"]).groupBy("kind", "norm").agg(F.collect_set("word").alias("common"))
@@ -181,11 +181,11 @@ def map_values(
     asked = distinct.where(~bare.isin(*PLACEHOLDERS)).select("kind", "norm").distinct().withColumn("short", F.translate("norm", ". ", ""))
     told = asked.join(acronyms, ["kind", "short"], "left")
     by_acronym = told.where("term is not null").select("kind", "norm", F.col("term").alias("t"), F.lit(1.0).alias("s"), F.lit(1.0).alias("l"))
-    open_ = cut_lineage(_completed(told.where("term is null").select("kind", "norm"), words))
+    open_ = _completed(told.where("term is null").select("kind", "norm"), words)
 
     # groups of one kind: blocks of names times groups of values, so both sides of a group are bounded
     n_blocks = F.ceil(F.col("n_names") / BLOCK).cast("int")
-    n_values = open_.groupBy("kind").agg(F.count("*").alias("n_values"))
+    n_values = asked.groupBy("kind").agg(F.count("*").alias("n_values"))
     plan = F.broadcast(sizes.join(n_values, "kind").select("kind", n_blocks.alias("blocks"), F.greatest(F.ceil(F.col("n_values") / VALUES), F.lit(1)).cast("int").alias("groups")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of_names = full.join(plan, "kind").select("kind", F.pmod(F.xxhash64("norm", "term"), "blocks").cast("int").alias("block"), every("groups").alias("grp"), "term", "words", "common", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("idf"))

@@ -98,6 +98,11 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality.quality(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts among the statistics, which SQL can express as well."""
+    return p9_statistics(spark, folder).select("doc_id", "words", "lines", "punctuated_lines")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_statistics(spark, folder).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
@@ -106,7 +111,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p4_found, p4_mapped, p4_unmatched,
-        p6_found, p6_collapsed, p7_filled, p8_found, p8_clean, p9_found, p9_statistics,
+        p6_found, p6_collapsed, p7_filled, p8_found, p8_clean, p9_found, p9_counts, p9_statistics,
     )
 }
 
@@ -116,7 +121,15 @@ _FORMS = r"""WITH f AS (SELECT id,
    'v' || array_to_string(list_sort(regexp_extract_all(lower(nfc_normalize(citekey)), '\p{N}+|[\p{L}\p{M}]+')), ' ') AS c FROM paper),
  g AS (SELECT id, min(id) OVER w AS first_id FROM f WINDOW w AS (PARTITION BY coalesce(d, 'n'), coalesce(t, 'n'), coalesce(c, 'n')))"""
 
+_BLANK = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_COUNTS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ n AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[{_BLANK}]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')) AS words,
+   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS lines FROM d)
+ SELECT doc_id, len(words) AS words, len(lines) AS lines,
+   CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;]["''”’)\]»]*\p{{Nd}}{{0,3}}[{_BLANK}]*$')))::DOUBLE / len(lines) END AS punctuated_lines FROM n"""
+
 SQL: dict[str, str] = {
+    "p9_counts": _COUNTS,
     "p6_found": f"{_FORMS} SELECT first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p6_collapsed": f"{_FORMS} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id",
 }

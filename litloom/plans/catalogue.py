@@ -349,7 +349,7 @@ _CLAIMS = rf"""WITH RECURSIVE {_FILES},
    UNION ALL SELECT k, path, 'prefix', 1, 0.0, len FROM named JOIN disk ON starts_with(disk, stem) WHERE length(stem) >= 12
    UNION ALL SELECT k, path, 'title', 2, 0.0, len FROM named JOIN disk ON starts_with(disk, head) OR starts_with(head, disk) WHERE length(head) >= 12
    UNION ALL SELECT k, path, 'fuzzy', 3, -s, 0 FROM (SELECT k, path, jaro_winkler_similarity(coalesce(stem, head), substring(disk, 1, length(coalesce(stem, head)))) AS s FROM named, disk WHERE coalesce(stem, head) IS NOT NULL) WHERE s >= 0.88),
- prefs AS (SELECT n.k, n.citekey, coalesce(list(struct_pack(p := path, h := how) ORDER BY step, unlike, size, path) FILTER (path IS NOT NULL), []) AS l FROM named n LEFT JOIN wishes w ON w.k = n.k GROUP BY ALL),
+ prefs AS MATERIALIZED (SELECT n.k, n.citekey, coalesce(list(struct_pack(p := path, h := how) ORDER BY step, unlike, size, path) FILTER (path IS NOT NULL), []) AS l FROM named n LEFT JOIN wishes w ON w.k = n.k GROUP BY ALL),
  fold AS (SELECT 0 AS k, NULL::VARCHAR AS citekey, NULL::STRUCT(p VARCHAR, h VARCHAR) AS got, []::VARCHAR[] AS claimed
    UNION ALL SELECT k, citekey, got, CASE WHEN got IS NULL THEN claimed ELSE list_append(claimed, got.p) END
      FROM (SELECT n.k, n.citekey, f.claimed, list_filter(n.l, lambda x: NOT list_contains(f.claimed, x.p))[1] AS got FROM fold f JOIN prefs n ON n.k = f.k + 1))"""

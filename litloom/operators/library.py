@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.similarity import jaro_winkler, norm_key
+from ..functions.similarity import norm_key
 from ..functions.text import declared_filename, file_name, first_non_blank, non_blank, normalise_authors, normalise_doi, parse_year, strip_extension
 from ..runtime import cut_lineage
 
@@ -77,132 +78,329 @@ def _named(rows: DataFrame, config: Config) -> DataFrame:
     return named.select("citekey", turn.alias("turn"), stem.alias("stem"), head.alias("head"), F.coalesce(stem, head).alias("probe"))
 
 
-def _wishes(named: DataFrame, disk: DataFrame, n: int) -> DataFrame:
-    """``(turn, wish, path)`` of matches by name; ``wish`` orders a row's candidates, equal names go to the smaller path."""
-
-    def wish(step: int, how: str, size: Column, path: str = "path") -> Column:
-        return F.struct(F.lit(step).alias("step"), F.lit(0.0).cast("double").alias("unlike"), size.alias("size"), F.col(path).alias("p"), F.lit(how).alias("how")).alias("wish")
-
-    first = disk.groupBy("norm").agg(F.min("path").alias("path"))
-    exact = named.join(first, named["stem"] == first["norm"]).select("turn", wish(0, "exact", F.lit(0)), "path")
-    long = disk.where(F.length("norm") >= n).withColumn("start", F.substring("norm", 1, n))
-    stems = named.where(F.length("stem") >= n).select("turn", "stem", F.substring("stem", 1, n).alias("start"))
-    prefix = stems.join(long, "start").where(F.startswith("norm", "stem")).select("turn", wish(1, "prefix", F.col("size")), "path")
-    heads = named.where(F.length("head") >= n).select("turn", "head", F.substring("head", 1, n).alias("start"))
-    longer = heads.join(long, "start").where(F.startswith("norm", "head"))
-    # a file name that the title starts with is one of the title's beginnings
-    starts = heads.select("turn", "head", F.explode(F.sequence(F.lit(0), F.length("head") - 1)).alias("len")).withColumn("norm", F.expr("substring(head, 1, len)"))
-    shorter = starts.join(disk, "norm")
-    title = longer.select("turn", wish(2, "title", F.col("size")), "path").unionByName(shorter.select("turn", wish(2, "title", F.col("size")), "path"))
-    return exact.unionByName(prefix).unionByName(title)
-
-
-#: Names in one group of the fuzzy comparison.
-FUZZY_ROWS, FUZZY_FILES = 500, 5_000
+#: Names in one group of the fuzzy comparison, pairs scored together, and files of a probe's list beside two for each row that asks.
+FUZZY_ROWS, FUZZY_FILES, FUZZY_PAIRS, FUZZY_LIST = 4_000, 5_000, 100_000, 32
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
-
-
-def _letters(names: list[str]) -> np.ndarray:
-    return np.array([[x.count(c) for c in _SYMBOLS] for x in names], dtype=np.int16).reshape(len(names), len(_SYMBOLS))
+_FREE = 1 << 62
+
+
+def _codes(names: list[str], width: int) -> np.ndarray:
+    """The characters of names by number, from 1; 0 after the end."""
+    table_ = np.zeros(128, np.uint8)
+    table_[[ord(c) for c in _SYMBOLS]] = np.arange(1, len(_SYMBOLS) + 1)
+    out = np.zeros((len(names), width), np.uint8)
+    for i, x in enumerate(names):
+        got = table_[np.frombuffer(x[:width].encode(), np.uint8)]
+        out[i, : len(got)] = got
+    return out
+
+
+def _places(codes: np.ndarray) -> np.ndarray:
+    """``[word, character, name]``: the places of a character in a name as bits of 64-bit words."""
+    n, width = codes.shape
+    out, at = np.zeros((max(1, -(-width // 64)), len(_SYMBOLS) + 1, n), np.uint64), np.arange(n)
+    for k in range(width):
+        out[k // 64, codes[:, k], at] |= np.uint64(1 << (k % 64))
+    out[:, 0] = 0
+    return out
+
+
+def _alike(a: np.ndarray, a_at: np.ndarray, places: np.ndarray, b_at: np.ndarray, sizes: np.ndarray, equal: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(which, score)`` of the pairs ``(a[a_at], b[b_at])`` whose Jaro-Winkler reaches the threshold, as ``jaro_winkler``
+    has it. All of ``a`` have one length and no ``b`` counts beyond it; places are taken as bits, all pairs at a time.
+    ``equal`` counts equal first characters up to four."""
+    length = a.shape[1]
+    reach, words = max(0, length // 2 - 1), -(-length // 64)
+    sign = 0xFFFF_FFFF_FFFF_FFFF
+
+    def lowest(masks: list[np.ndarray]) -> list[np.ndarray]:
+        out, found = [], None
+        for m in masks:
+            low = m & (~m + np.uint64(1))
+            out.append(low if found is None else np.where(found, np.uint64(0), low))
+            found = m != 0 if found is None else found | (m != 0)
+        return out
+
+    used = [np.zeros(len(a_at), np.uint64) for _ in range(words)]
+    hits = np.zeros((length, len(a_at)), bool)
+    for i in range(length):
+        window = ((1 << min(length, i + reach + 1)) - 1) & ~((1 << max(0, i - reach)) - 1)
+        c = a[a_at, i]
+        low = lowest([places[w, c, b_at] & np.uint64(window >> (64 * w) & sign) & ~used[w] for w in range(words)])
+        for w in range(words):
+            used[w] |= low[w]
+            hits[i] |= low[w] != 0
+    m = hits.sum(axis=0).astype(np.float64)
+
+    def winkler(m, swapped, sizes, equal):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            base = np.where(m > 0, (m / length + m / sizes + (m - swapped) / m) / 3, 0.0)
+        return base + equal * 0.1 * (1 - base)
+
+    keep = np.flatnonzero(winkler(m, 0.0, sizes, equal) >= threshold)
+    a_at, b_at, hits, used = a_at[keep], b_at[keep], hits[:, keep], [u[keep] for u in used]
+    differ = np.zeros(len(keep), np.int64)
+    for i in range(length):
+        low = lowest(used)
+        same = np.zeros(len(keep), bool)
+        for w in range(words):
+            same |= (places[w, a[a_at, i], b_at] & low[w]) != 0
+            used[w] ^= np.where(hits[i], low[w], np.uint64(0))
+        differ += hits[i] & ~same
+    score = winkler(m[keep], differ / 2, sizes[keep], equal[keep])
+    good = (score >= threshold) & (score > 0)
+    return keep[good], score[good]
+
+
+def _compared(probes: pd.DataFrame, files: pd.DataFrame, threshold: float):
+    """``(probe's row, scores, files' rows)`` of probes and the files they may get whose names, cut to the probe's length, are alike.
+
+    Only pairs are scored whose letters in common allow the threshold: with ``m`` matching letters Jaro is at most
+    ``(m / |a| + m / |b| + 1) / 3``, and each of up to four equal first letters adds at most a tenth of what it lacks.
+    """
+    order = sorted((len(p), i) for i, p in enumerate(probes["probe"]) if p)
+    if not order or not len(files):
+        return
+    codes = _codes(list(files["norm"]), order[-1][0])
+    full, places, holder = np.array([len(x) for x in files["norm"]]), _places(codes), files["holder"].to_numpy()
+    first, after, fid = probes["first"].to_numpy(), probes[["unlike", "last"]].to_numpy(), files["fid"].to_numpy()
+    needs = np.array([(threshold - 0.1 * k) / (1 - 0.1 * k) for k in range(5)])
+    letters, each = np.zeros((len(_SYMBOLS) + 1, len(files)), np.uint16), np.arange(len(files))
+    done = at = 0
+    while at < len(order):
+        length = order[at][0]
+        members = []
+        while at < len(order) and order[at][0] == length:
+            members.append(order[at][1])
+            at += 1
+        for k in range(done, length):
+            letters[codes[:, k], each] += 1
+        done = length
+        sizes = np.minimum(full, length)
+        share = (1 / length + 1 / np.maximum(sizes, 1)) / 3
+        a = _codes([probes["probe"].iloc[i] for i in members], length)
+        pending, count = [], 0
+
+        def scored(pending, a=a, sizes=sizes, members=members):
+            a_at, b_at, equal = (np.concatenate(x) for x in zip(*pending))
+            which, score = _alike(a, a_at, places, b_at, sizes[b_at], equal, threshold)
+            a_at, b_at = a_at[which], b_at[which]
+            for k in np.unique(a_at):
+                mine = a_at == k
+                i = members[k]
+                yield i, score[mine], b_at[mine]
+
+        for k, i in enumerate(members):
+            mine = np.bincount(a[k], minlength=len(_SYMBOLS) + 1)[:, None].astype(np.uint16)
+            own = np.flatnonzero(mine[:, 0])
+            most = np.minimum(letters[own], mine[own]).sum(axis=0, dtype=np.uint16) * share + 1 / 3
+            near = np.flatnonzero((most >= needs[4] - 1e-9) & (holder > first[i]) & (sizes > 0))
+            equal = np.cumprod(codes[near, : min(4, length)] == a[k, :4], axis=1).sum(axis=1)
+            fits = most[near] >= needs[equal] - 1e-9
+            if fits.any():
+                pending.append((np.full(fits.sum(), k), near[fits], equal[fits]))
+                count += fits.sum()
+            if count >= FUZZY_PAIRS:
+                yield from scored(pending)
+                pending, count = [], 0
+        if pending:
+            yield from scored(pending)
 
 
 def _fuzzy(asked: DataFrame, disk: DataFrame, threshold: float) -> DataFrame:
-    """``(turn, wish, path)`` of files whose name, cut to the probe's length, is alike by Jaro-Winkler.
+    """``(probe, part, fids, more, unlike, last)``: the next files of each probe by likeness, then path.
 
-    The asked rows are a query set that is compared with all files, in blocks of both. Of a block's pairs only those are
-    scored whose letters in common allow the threshold: with ``m`` matching letters Jaro is at most
-    ``(m / |a| + m / |b| + 1) / 3``, and four equal first letters add at most 0.4 of what it lacks.
+    ``asked(probe, first, part, most, unlike, last)`` are distinct probes that are compared with all files
+    ``disk(fid, norm, holder)``, in blocks of both: of the files after ``(unlike, last)`` and not held by a row before
+    ``first``, the best ``most``; ``more`` tells whether others follow.
     """
     n_asked, n_files = asked.count(), disk.count()
     groups, blocks = max(1, -(-n_asked // FUZZY_ROWS)), max(1, -(-n_files // FUZZY_FILES))
-    least = (threshold - 0.4) / 0.6
-
-    def compare(key, rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(files):
-            by_length: dict[int, list[int]] = defaultdict(list)
-            for i, p in enumerate(rows["probe"]):
-                by_length[len(p)].append(i)
-            for length, members in by_length.items():
-                clipped = [x[:length] for x in files["norm"]]
-                names, where = np.unique(np.array(clipped, dtype=object), return_inverse=True)
-                sizes, letters = np.array([len(x) for x in names]), _letters(list(names))
-                own = _letters([rows["probe"].iloc[i] for i in members])
-                at = defaultdict(list)
-                for f, w in enumerate(where):
-                    at[w].append(f)
-                for i, mine in zip(members, own):
-                    m = np.minimum(letters, mine).sum(axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        bound = (m / length + np.where(sizes > 0, m / np.maximum(sizes, 1), 0) + 1) / 3 if length else np.ones(len(names))
-                    for w in np.flatnonzero(bound >= least - 1e-9):
-                        score = jaro_winkler(rows["probe"].iloc[i], names[w])
-                        if score >= threshold and score > 0:
-                            out += [(rows["id"].iloc[i], score, files["path"].iloc[f]) for f in at[w]]
-        return pd.DataFrame(out, columns=["id", "score", "path"]).astype({"id": "int64", "score": "float64", "path": "object"})
-
-    ids = cut_lineage(asked.select("turn", "probe", F.xxhash64("turn").alias("id")))
-    left = ids.select("id", "probe", F.pmod("id", F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = disk.select("path", "norm", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    alike = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(compare, "id long, score double, path string")
-    wish = F.struct(F.lit(3).alias("step"), (-F.col("score")).alias("unlike"), F.lit(0).alias("size"), F.col("path").alias("p"), F.lit("fuzzy").alias("how")).alias("wish")
-    return alike.join(ids.select("id", "turn"), "id").select("turn", wish, "path")
-
-
-#: Wishes that the driver settles by itself.
+
+    def compare(key, probes: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        fid, start, last, most = files["fid"].to_numpy(), probes["unlike"].to_numpy(), probes["last"].to_numpy(), probes["most"].to_numpy()
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, score, which in _compared(probes, files, threshold):
+            ids = fid[which]
+            later = (-score > start[i]) | (-score == start[i]) & (ids > last[i])
+            unlike, ids = (np.concatenate(x) for x in zip((-score[later], ids[later]), *[best[i]] if i in best else []))
+            # one more than asked for tells that others follow
+            order = np.lexsort((ids, unlike))[: most[i] + 1]
+            best[i] = unlike[order], ids[order]
+        at = np.repeat(np.array(list(best), np.int64), [len(x[0]) for x in best.values()])
+        unlike, ids = (np.concatenate([np.array([], kind), *x]) for kind, x in zip((np.float64, np.int64), list(zip(*best.values())) or ((), ())))
+        return pd.DataFrame({"probe": probes["probe"].to_numpy(object)[at], "unlike": unlike, "fid": ids})
+
+    left = asked.withColumns({"g": F.pmod(F.xxhash64("probe"), F.lit(groups)).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    right = disk.select("fid", "norm", "holder", F.pmod(F.xxhash64("fid"), F.lit(blocks)).cast("int").alias("b")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    alike = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(compare, "probe string, unlike double, fid long")
+    found = alike.groupBy("probe").agg(F.sort_array(F.collect_list(F.struct("unlike", "fid"))).alias("l"))
+    listed = asked.join(found, "probe", "left").withColumns({"kept": F.slice(F.coalesce("l", F.array().cast("array<struct<unlike:double,fid:bigint>>")), F.lit(1), F.col("most").cast("int"))})
+    end = F.try_element_at("kept", F.lit(-1))
+    return listed.select(
+        "probe", "part", F.transform("kept", lambda x: x["fid"]).alias("fids"), F.coalesce(F.size("l") > F.col("most"), F.lit(False)).alias("more"),
+        F.coalesce(end["unlike"], "unlike").alias("unlike"), F.coalesce(end["fid"], "last").alias("last"),
+    )
+
+
+class _Desk:
+    """Files by name, of which the free ones are given out: by the smaller size, then the smaller number."""
+
+    def __init__(self, fids: np.ndarray, norms: list[str], sizes: np.ndarray):
+        by_name = sorted(range(len(norms)), key=lambda i: (norms[i], i))
+        self.fids, self.norms, n = fids[by_name].tolist(), [norms[i] for i in by_name], len(norms)
+        by_size = np.lexsort((np.arange(n), sizes))
+        place = np.empty(n, np.int64)
+        place[by_size] = np.arange(n)
+        self.n, self.none = n, n
+        self.by_rank = np.empty(n, np.int64)  # place in the order of names of the file of each rank
+        self.by_rank[place[by_name]] = np.arange(n)
+        self.at = {f: i for i, f in enumerate(self.fids)}
+        # least rank of the free files in each range: leaves from n on, a node above two
+        tree = np.full(2 * max(n, 1), n, np.int64)
+        tree[n : 2 * n] = place[by_name]
+        self.tree = tree.tolist() if n else [0, 0]
+        for i in range(n - 1, 0, -1):
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        self.start: dict[str, int] = {}
+        self.stop: dict[str, int] = {}
+        for i, x in enumerate(self.norms):
+            self.start.setdefault(x, i)
+            self.stop[x] = i + 1
+        self.in_order, self.next = sorted(range(n), key=self.fids.__getitem__), 0
+
+    def best(self, lo: int, hi: int) -> int:
+        """The least rank among the free files of a range; ``none`` if there is none."""
+        tree, out = self.tree, self.none
+        lo, hi = lo + self.n, hi + self.n
+        while lo < hi:
+            if lo & 1:
+                out = min(out, tree[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                out = min(out, tree[hi])
+            lo, hi = lo >> 1, hi >> 1
+        return out
+
+    def beginning(self, name: str) -> int:
+        """The least rank among the free files whose names begin so."""
+        lo = bisect_left(self.norms, name)
+        return self.best(lo, bisect_left(self.norms, name + "~", lo))
+
+    def free(self, place: int) -> bool:
+        return self.tree[self.n + place] < self.none
+
+    def take(self, place: int) -> int:
+        i = self.n + place
+        self.tree[i] = self.none
+        while i > 1:
+            i >>= 1
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        return self.fids[place]
+
+    def claim(self, stem: str | None, head: str | None, lists: dict[str, tuple[list[int], bool]], n: int) -> tuple[int | None, str | None, bool]:
+        """(file, how, whether the row has to ask for files alike) of the next row."""
+        if stem is not None and (at := self.start.get(stem)) is not None and self.free(at):
+            return self.take(at), "exact", False
+        if stem is not None and len(stem) >= n and (rank := self.beginning(stem)) < self.none:
+            return self.take(self.by_rank[rank]), "prefix", False
+        if head is not None and len(head) >= n:
+            # a file name that the title starts with is one of the title's beginnings
+            shorter = (self.best(at, self.stop[x]) for x in (head[:k] for k in range(len(head))) if (at := self.start.get(x)) is not None)
+            rank = min(self.beginning(head), min(shorter, default=self.none))
+            if rank < self.none:
+                return self.take(self.by_rank[rank]), "title", False
+        probe = head if stem is None else stem
+        if probe is None or not self.n:
+            return None, None, False
+        if not probe:  # like every name cut to nothing
+            while self.next < self.n and not self.free(self.in_order[self.next]):
+                self.next += 1
+            return (self.take(self.in_order[self.next]), "fuzzy", False) if self.next < self.n else (None, None, False)
+        if probe not in lists:
+            return None, None, True
+        fids, more = lists[probe]
+        for f in fids:
+            if self.free(at := self.at[f]):
+                return self.take(at), "fuzzy", False
+        return None, None, more
+
+
+def _clerk(n: int):
+    """Batches of files, lists of files alike and rows, in this order, to ``(id, fid, how, asks)`` of the rows."""
+
+    def run(batches):
+        parts, lists, desk = [], {}, None
+        for b in batches:
+            c = b.to_pydict()
+            files = int(np.searchsorted(c["kind"], 1))
+            parts.append((np.array(c["id"][:files], np.int64), c["a"][:files], np.array(c["size"][:files], np.int64)))
+            listed = int(np.searchsorted(c["kind"], 2))
+            for k in range(files, listed):
+                lists[c["a"][k]] = (lists.get(c["a"][k], ([], False))[0] + c["fids"][k], c["more"][k])
+            if listed == len(c["kind"]):
+                continue
+            if desk is None:
+                desk = _Desk(np.concatenate([x[0] for x in parts]), [x for p in parts for x in p[1]], np.concatenate([x[2] for x in parts]))
+            out = [desk.claim(c["a"][k], c["b"][k], lists, n) for k in range(listed, len(c["kind"]))]
+            fid, how, asks = zip(*out)
+            yield pa.record_batch({"id": pa.array(c["id"][listed:], pa.int64()), "fid": pa.array(fid, pa.int64()), "how": pa.array(how, pa.string()), "asks": pa.array(asks, pa.bool_())})
+
+    return run
+
+
+#: Rows and files that the driver settles by itself.
 AT_ONCE = 100_000
 
 
-def _settled(wishes: DataFrame) -> DataFrame:
-    """``(turn, wish, path)``: each file goes to the first row by turn that has no file it would rather have.
+def _settled(named: DataFrame, answers: DataFrame, disk: DataFrame, n: int, at_once: bool) -> DataFrame:
+    """``(id, fid, how, asks)``: the rows one after the other, each with its best free file by names, then by its probe's list.
 
-    Rows that choose one after the other get what they get if all propose at once, files keep the first by turn, and
-    those turned away go on to their next wish: files agree in whom they prefer, so both lead to the only stable outcome.
-    A round is an aggregation by row and one by file; it ends when nobody is turned away. Up to ``AT_ONCE`` wishes need no
-    rounds: the driver takes them in order.
+    One task holds the files' names and the lists; rows pass through it in their order and each takes some look-ups, so
+    no row's candidates are written down. Rows that the names leave without a file and whose list is not there, or ends
+    before all files alike, get none and ask.
     """
-    if wishes.limit(AT_ONCE + 1).count() <= AT_ONCE:
-        got, claimed = {}, set()
-        for r in wishes.orderBy("turn", "wish").collect():
-            if r.turn not in got and r.path not in claimed:
-                got[r.turn] = r
-                claimed.add(r.path)
-        return wishes.sparkSession.createDataFrame(list(got.values()), wishes.schema)
-    open_ = wishes
-    while True:
-        asked = open_.groupBy("turn").agg(F.min(F.struct("wish", "path")).alias("m")).select("turn", "m.wish", "m.path")
-        first = asked.groupBy("path").agg(F.min("turn").alias("winner"))
-        held = cut_lineage(asked.join(first, "path").withColumn("kept", F.col("turn") == F.col("winner")))
-        refused = held.where("not kept").select("turn", "path")
-        if refused.isEmpty():
-            return held.select("turn", "wish", "path")
-        # a file that is held by an earlier row is out of reach for good
-        taken = held.where("kept").select("path", F.col("turn").alias("holder"))
-        open_ = cut_lineage(open_.join(taken, "path", "left").where(F.col("holder").isNull() | (F.col("turn") <= F.col("holder"))).drop("holder"))
+    void = lambda kind: F.lit(None).cast(kind)
+    columns = {"kind": F.lit(0), "id": F.col("fid"), "a": F.col("norm"), "b": void("string"), "size": F.col("size"), "fids": void("array<long>"), "more": void("boolean")}
+    lists = {"kind": F.lit(1), "id": F.col("part").cast("long"), "a": F.col("probe"), "b": void("string"), "size": void("int"), "fids": F.col("fids"), "more": F.col("more")}
+    rows = {"kind": F.lit(2), "id": F.col("id"), "a": F.col("stem"), "b": F.col("head"), "size": void("int"), "fids": void("array<long>"), "more": void("boolean")}
+    each = [df.select(*(x.alias(c) for c, x in of.items())) for df, of in ((disk, columns), (answers, lists), (named, rows))]
+    told, schema = reduce(DataFrame.unionByName, each), "id long, fid long, how string, asks boolean"
+    if at_once:
+        got = list(_clerk(n)(told.orderBy("kind", "id").toArrow().to_batches()))
+        return named.sparkSession.createDataFrame(pa.Table.from_batches(got), schema) if got else named.sparkSession.createDataFrame([], schema)
+    return cut_lineage(told.repartition(1).sortWithinPartitions("kind", "id").mapInArrow(_clerk(n), schema))
 
 
 def claim_files(rows: DataFrame, files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``(citekey, pdf_path, how)``: files matched to library rows, each file at most once.
 
     The cascade is exact name, declared name as prefix, title as prefix either way, then Jaro-Winkler; rows with a
-    declared file choose first, then by citekey. Candidates come from joins on names, and only rows that these leave
-    without a file are compared with all files; see ``_settled`` for the choice. Rows equal in citekey, title and declared
-    file are one row; rows without citekey take no part.
+    declared file choose first, then by citekey. Only rows that names leave without a file are compared with all files.
+    As their finds take files from later rows, those may come to ask as well: rows are settled anew until none asks. A file
+    once held by an earlier row is out of a later one's reach for good. Rows equal in citekey, title and declared file
+    are one row; rows without citekey take no part.
     """
-    disk = cut_lineage(
-        files.where("path is not null").select("path").distinct().select("path", F.length(file_name("path")).alias("size"), F.coalesce(norm_key(strip_extension(file_name("path"))), F.lit("")).alias("norm"))
-    )
-    named = cut_lineage(_named(rows, config))
-    wishes = cut_lineage(_wishes(named, disk, config.min_probe_chars))
-    asked = named.limit(0)
+    numbered = F.monotonically_increasing_id()  # in the order of the sorted table
+    disk = files.where("path is not null").select("path").distinct().orderBy("path").select(numbered.alias("fid"), "path")
+    base = file_name("path")
+    disk = cut_lineage(disk.select("fid", "path", F.length(base).alias("size"), F.coalesce(norm_key(strip_extension(base)), F.lit("")).alias("norm")))
+    named = cut_lineage(_named(rows, config).orderBy("turn").select(numbered.alias("id"), "citekey", "stem", "head", "probe"))
+    at_once = named.count() + disk.count() <= AT_ONCE
+    firsts = named.where("probe is not null").groupBy("probe").agg(F.min("id").alias("first"))
+    answers = named.sparkSession.createDataFrame([], "probe string, part int, fids array<long>, more boolean, unlike double, last long")
     while True:
-        held = _settled(wishes)
-        left = named.where("probe is not null").join(held.select("turn"), "turn", "left_anti").join(asked.select("turn"), "turn", "left_anti")
-        left = cut_lineage(left.select(*named.columns))
-        if left.isEmpty():
-            return named.join(held, "turn", "left").select("citekey", F.col("path").alias("pdf_path"), F.col("wish.how").alias("how"))
-        wishes = cut_lineage(wishes.unionByName(_fuzzy(left, disk, config.fuzzy_threshold)))
-        asked = asked.unionByName(left)
+        held = _settled(named, answers, disk, config.min_probe_chars, at_once)
+        asking = held.where("asks")
+        if asking.isEmpty():
+            found = held.join(disk.select("fid", "path"), "fid", "left")
+            return named.join(found, "id").select("citekey", F.col("path").alias("pdf_path"), "how")
+        so_far = answers.groupBy("probe").agg(F.max("part").alias("part"), F.max_by(F.struct("unlike", "last"), "part").alias("end"))
+        asked = named.join(asking.select("id"), "id").groupBy("probe").agg(F.greatest(F.count("*") * 2 + FUZZY_LIST, F.lit(1)).alias("most")).join(firsts, "probe").join(so_far, "probe", "left")
+        asked = cut_lineage(asked.select("probe", "first", "most", (F.coalesce("part", F.lit(0)) + 1).alias("part"), F.coalesce("end.unlike", F.lit(-2.0)).alias("unlike"), F.coalesce("end.last", F.lit(-1)).cast("long").alias("last")))
+        holders = disk.join(held.where("fid is not null").select("fid", F.col("id").alias("holder")), "fid", "left").withColumn("holder", F.coalesce("holder", F.lit(_FREE)))
+        answers = cut_lineage(answers.unionByName(_fuzzy(asked, holders, config.fuzzy_threshold)))
 
 
 def unclaimed(files: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from litloom.config import Config
@@ -74,6 +75,29 @@ def test_a_row_displaced_late_looks_on(spark):
     assert claims(spark, rows, []) == {("A", None, None), ("B", None, None), ("C", None, None)} and claims(spark, [], paths) == set()
 
 
+@pytest.mark.parametrize("listed", [32, -22])
+def test_many_rows_of_one_name_take_few_passes(spark, monkeypatch, listed):
+    monkeypatch.setattr(library, "AT_ONCE", 0)
+    monkeypatch.setattr(library, "FUZZY_LIST", listed, raising=False)  # -22: fewer files at a time than rows ask for
+    calls, cut = [], library.cut_lineage
+    monkeypatch.setattr(library, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    rows = [(f"K{i:02}", "harbour freight loads", None) for i in range(16)] + [(f"L{i:02}", None, "harbour freight lcads.pdf") for i in range(16)]
+    paths = [f"d{i}/harbour freight loads {'x' * (i % 3)}.pdf" for i in range(24)]
+    assert claims(spark, rows, paths) == one_after_the_other(rows, paths)
+    assert listed < 0 or len(calls) <= 12
+
+
+def test_likeness_of_pairs_at_once():
+    rng = random.Random(7)
+    for length in (1, 2, 3, 12, 63, 64, 65, 130):
+        probes = ["".join(rng.choice("abcd1") for _ in range(length)) for _ in range(6)]
+        names = [*probes, "", "a"] + ["".join(rng.choice("abcd1") if rng.random() < 0.2 else c for c in p)[: rng.randint(1, length)] + "zz" for p in probes for _ in range(4)]
+        asked = pd.DataFrame({"probe": probes, "first": 5, "unlike": -2.0, "last": -1})
+        files = pd.DataFrame({"fid": range(len(names)), "norm": names, "holder": [4 if i % 5 == 0 else 9 for i in range(len(names))]})
+        want = {(i, f, s) for i, p in enumerate(probes) for f, x in enumerate(names) if f % 5 and x and (s := jaro_winkler(p, x[:length])) >= 0.88}
+        assert {(i, int(f), float(s)) for i, scores, at in library._compared(asked, files, 0.88) for s, f in zip(scores, at)} == want and want
+
+
 @pytest.mark.parametrize("block", [4096, 20])
 def test_clusters_do_not_depend_on_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(synthesis, "BLOCK", block)

@@ -1,8 +1,9 @@
 """Problem 1 - repair text from scanned pages into continuous paragraphs.
 
 1. Lines of page furniture (running headers, page numbers) are told by their form and taken out.
-2. A lexicon counts the words of the whole corpus, those of rows without scanning marks apart. Its frequent words form
-   a trie that every decoder holds; rare words reach the texts as corrections, by joins on words.
+2. A lexicon counts the words of the whole corpus, those of rows without scanning marks apart. All words that are frequent
+   enough to explain another form a trie that every decoder holds; beyond the most frequent ones it is packed and opens
+   where a decoder gets to.
 3. Each text is decoded as one stream of characters without lines. Words that stand in unmarked rows are taken as they
    are; around all others a lattice over the characters is searched, whose arcs are words of the trie read with any of:
    characters confused (several a word), blanks inside a word (merges), no blank between words (splits), hyphens at line
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from typing import NamedTuple
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
 
-#: Most frequent words kept in every task, and most corrections; beyond the second the corrections are joined to rows.
+#: Words that every task keeps unpacked, and most corrections; beyond the second the corrections are joined to rows.
 TOP_WORDS, MAX_FACTS = 50_000, 300_000
 #: A correction must be this many times as frequent, in unmarked rows, as the word it replaces anywhere.
 RATIO = 8
@@ -137,8 +139,8 @@ class Lexicon:
     """Word counts and corrections that a decoder may look at: ``word -> (count, correction or None, count in unmarked
     rows, count of the correction's first word)``."""
 
-    def __init__(self, top: dict[str, int], facts: dict[str, tuple[int, str | None, int, int]], total: float):
-        self.top, self.facts, self.total = top, facts, max(total, 1.0)
+    def __init__(self, top: dict[str, int], facts: dict[str, tuple[int, str | None, int, int]], total: float, rest: Rest | None = None):
+        self.top, self.facts, self.total, self.rest = top, facts, max(total, 1.0), rest
         self.known_arcs: dict = {}
         self.costs: dict[str, float] = {}
 
@@ -179,21 +181,60 @@ class Lexicon:
         return -math.log((count + 0.01) / self.total)
 
     def trie(self) -> dict:
-        """The frequent words by letters; built once a process for each lexicon."""
-        if _TRIE.get("top") is not self.top:
+        """The words that may be meant by letters; built once a process for each lexicon."""
+        if _TRIE.get("top") is not self.top or _TRIE["rest"] is not self.rest:
             root: dict = {}
             for w, n in self.top.items():
                 node = root
                 for c in w:
                     node = node.setdefault(c, {})
                 node[WORD_END] = n
-            _TRIE.update(top=self.top, root=root)
+            _TRIE.update(top=self.top, rest=self.rest, frequent=root, root=root, opened=OPENED + 1)
+        if self.rest is not None and _TRIE["opened"] > OPENED:
+            _TRIE.update(root=Branch(_TRIE["frequent"], self.rest, 0, len(self.rest.words), 0), opened=0)
         return _TRIE["root"]
 
 
 #: The trie of the process and the lexicon it was built from.
 _TRIE: dict = {}
 WORD_END = ""
+#: Branches of packed words that stay open.
+OPENED = 500_000
+
+
+class Rest(NamedTuple):
+    """The words beyond the most frequent ones that may be meant, in order, and their counts."""
+
+    words: pa.Array
+    counts: pa.Array
+
+
+class Branch(dict):
+    """A node of the trie that takes its words of a range of ``Rest`` up when it is first asked."""
+
+    __slots__ = ("rest", "lo", "hi", "depth")
+
+    def __init__(self, frequent: dict, rest: Rest, lo: int, hi: int, depth: int):
+        super().__init__(frequent)
+        self.rest, self.lo, self.hi, self.depth = rest, lo, hi, depth
+
+    def get(self, key: str, default=None):
+        if self.rest is not None:
+            self._open()
+        return dict.get(self, key, default)
+
+    def _open(self) -> None:
+        rest, i, at = self.rest, self.lo, self.depth
+        self.rest = None
+        if i < self.hi and len(rest.words[i].as_py()) == at:
+            self[WORD_END] = rest.counts[i].as_py()
+            i += 1
+        while i < self.hi:
+            c = rest.words[i].as_py()[at]
+            stop = bisect_right(range(self.hi), c, i, key=lambda k: rest.words[k].as_py()[at])
+            self[c] = Branch(dict.get(self, c, {}), rest, i, stop, at + 1)
+            _TRIE["opened"] += 1
+            i = stop
 
 
 # Fixed costs of the operations, in natural-log units.
@@ -643,11 +684,20 @@ def repair_scans(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     total = counts.agg(F.sum("total")).first()[0] or 1
     frequent = counts.join(fixes, "word", "left_anti").where("clean >= 2").orderBy(F.desc("clean"), "word").limit(TOP_WORDS)
     top = {r.word: r.clean for r in frequent.select("word", "clean").toLocalIterator()}
+    rest = None
+    if len(top) == TOP_WORDS:
+        word, least = list(top.items())[-1] if top else ("", math.inf)
+        later = (F.col("clean") < least) | (F.col("clean") == least) & (F.col("word") > word)
+        got = counts.join(fixes, "word", "left_anti").where((F.col("clean") >= RATIO) & later).orderBy("word").select("word", "clean").toArrow().combine_chunks()
+        if got.num_rows:
+            rest = Rest(*(pa.concat_arrays(c.chunks) for c in got.columns))
     # what decoders ask beyond the frequent words: corrections, and words that stand in the corpus at all
-    numbers = counts.select(F.col("word").alias("meant"), F.greatest("clean", "total").alias("n_fix"))
+    # a word beyond the frequent ones counts as it would among them
+    n = F.when(F.col("fix").isNull() & (F.col("clean") >= 2), F.col("clean")).otherwise(F.greatest("clean", "total"))
+    numbers = doubtful.select(F.col("word").alias("meant"), n.alias("n_fix"))
     meant = fixes.withColumn("meant", F.split("fix", " ")[0]).join(numbers, "meant").select("word", "n_fix")
     beyond = doubtful.where("fix is not null or total > 0 or clean > 0").join(frequent.select("word"), "word", "left_anti")
-    facts = cut_lineage(beyond.join(meant, "word", "left").select("word", F.greatest("clean", "total").alias("n"), "fix", "clean", F.coalesce("n_fix", F.lit(0)).alias("n_fix")))
+    facts = cut_lineage(beyond.join(meant, "word", "left").select("word", n.alias("n"), "fix", "clean", F.coalesce("n_fix", F.lit(0)).alias("n_fix")))
     schema = rows.select(*keys).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -676,7 +726,7 @@ def repair_scans(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
         told = {r.word: (r.n, r.fix, r.clean, r.n_fix) for r in facts.toLocalIterator()}
 
         def run(batches):
-            lex = Lexicon(top, told, total)
+            lex = Lexicon(top, told, total, rest)
             for b in batches:
                 yield _outcome(b.select(keys), [whole(t, lex) for t in b.column("text").to_pylist()])
 
@@ -696,7 +746,7 @@ def repair_scans(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     def run_joined(batches):
         for b in batches:
             told = [{x["word"]: (x["n"], x["fix"], x["clean"], x["n_fix"]) for x in f or ()} for f in b.column("facts").to_pylist()]
-            yield _outcome(b.select(keys), [whole(t, Lexicon(top, f, total)) for t, f in zip(b.column("text").to_pylist(), told)])
+            yield _outcome(b.select(keys), [whole(t, Lexicon(top, f, total, rest)) for t, f in zip(b.column("text").to_pylist(), told)])
 
     matched = [base[k].eqNullSafe(answers[k]) for k in keys]
     with_facts = base.join(answers, matched, "left").select(*[base[k] for k in keys], base["text"], answers["facts"])

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from litloom.llm import scan_repair as sr
@@ -168,3 +169,26 @@ def test_long_runs_breed_no_candidates():
 
     rows = [r for b in run([pa.record_batch({"word": ["m" * 3000, "rnore"], "total": [1, 1]})]) for r in b.to_pylist()]
     assert {r["word"] for r in rows} == {"rnore"} and "more" in {r["first"] for r in rows}
+
+
+def test_packed_words_are_read_like_frequent_ones(spark, monkeypatch):
+    texts = [f"The harbour, {k} of carriers." for k in JOINT] + NOISY
+    want = repair(spark, texts)
+    assert (["The harbour, informal carriers in rural of carriers."], {("ocr", "informal")}) in repair(spark, ["The harbour, inforrna1 car riersin rural of carriers."])
+    for most, facts, opened in ((0, sr.MAX_FACTS, sr.OPENED), (9, sr.MAX_FACTS, 3), (9, -1, sr.OPENED)):
+        monkeypatch.setattr(sr, "TOP_WORDS", most)
+        monkeypatch.setattr(sr, "MAX_FACTS", facts)
+        monkeypatch.setattr(sr, "OPENED", opened)
+        assert repair(spark, texts) == want
+
+
+def test_branches_hold_all_words():
+    words = sorted({w for t in CLEAN for w in t.lower().split()} | {"a", "an", "ana", "é", "én", "网", "𝒳b"})
+    counts = {w: len(w) + 8 for w in words}
+    rest = sr.Rest(pa.array(words[::2], pa.string()), pa.array([counts[w] for w in words[::2]], pa.int64()))
+    lex = sr.Lexicon({w: counts[w] for w in words[1::2]}, {}, 100, rest)
+    for w in [*words, "none", "deliver"]:
+        node = lex.trie()
+        for c in w:
+            node = {} if node is None else node.get(c)
+        assert (None if node is None else node.get(sr.WORD_END)) == counts.get(w)
